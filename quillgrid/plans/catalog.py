@@ -2,5 +2,294 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..engine import Collection
+from ..operators import indexes, sizes
+from ..sources.tables import inspect_rows, inspect_schema, read_table
+from .query import LEGACY, STANDARD
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+SPACES = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+PLAIN = f"list_filter(list_transform(regexp_split_to_array(text, '{SPACES}'), lambda w: lower(regexp_replace(w, '[^\\p{{L}}\\p{{N}}]', '', 'g'))), lambda w: strlen(w) > 2)"
+BOOK = r"list_transform(list_filter(regexp_split_to_array(text, '[^\p{L}\p{M}\p{N}_]+'), lambda w: regexp_full_match(w, '[а-яёА-ЯЁa-zA-Z]{3,}')), lambda w: lower(w))"
+
+
+def with_tokens(sql: str, words: str = PLAIN, table: str = "documents", key: str = "doc_id") -> str:
+    """`sql` with docs(doc, words), tokens(doc, pos, term), postings(term, doc) and universe(doc) defined."""
+    return f"""WITH docs AS (SELECT {key}::VARCHAR AS doc, text, {words} AS words FROM {table} WHERE text IS NOT NULL),
+tokens AS (SELECT doc, unnest(words) AS term, generate_subscripts(words, 1) - 1 AS pos FROM docs),
+postings AS (SELECT DISTINCT term, doc FROM tokens),
+universe AS (SELECT DISTINCT doc FROM tokens),
+vocab AS (SELECT DISTINCT term FROM tokens),
+ids AS (SELECT doc, row_number() OVER (ORDER BY doc) - 1 AS id FROM universe),
+pids AS (SELECT term, id FROM postings JOIN ids USING (doc)),
+deltas AS (SELECT term, id, id - coalesce(lag(id) OVER (PARTITION BY term ORDER BY id), 0) AS delta FROM pids)
+{sql}"""
+
+
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = query
+    if sql is not None:
+        ORACLE_SQL[name] = sql
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def collection(spark: SparkSession, sf_dir: str, tokenizer: str = "plain") -> Collection:
+    return Collection(documents(spark, sf_dir), tokenizer)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection(spark, sf_dir).search("(the or der) and not that")
+
+
+# sources and tokenizers
+add("load_documents", documents, "SELECT doc_id::VARCHAR AS doc, text, NULL::VARCHAR AS metadata FROM documents WHERE text IS NOT NULL")
+add(
+    "load_conversations",
+    lambda s, d: indexes.dictionary(indexes.tokens(read_table(s.read.parquet(f"{d}/conversations.parquet")))),
+    with_tokens("SELECT term, count(*) AS tf, count(DISTINCT doc) AS df FROM tokens GROUP BY term", table="conversations", key="conv_id"),
+)
+add(
+    "load_pages_fallback",
+    lambda s, d: read_table(s.read.parquet(f"{d}/pages.parquet")).select("doc", "text"),
+    "SELECT page_id::VARCHAR AS doc, url AS text FROM pages WHERE url IS NOT NULL",
+)
+add(
+    "parquet_inspect",
+    lambda s, d: inspect_schema(s.read.parquet(f"{d}/documents.parquet")),
+    "SELECT * FROM (VALUES (0, 'doc_id', 'bigint'), (1, 'text', 'string'), (2, 'lang', 'string'), (3, 'source', 'string'), (4, 'n_chars', 'bigint')) AS t(column_no, column_name, column_type)",
+)
+add("parquet_inspect_rows", lambda s, d: inspect_rows(s.read.parquet(f"{d}/documents.parquet")), None)
+add("tokenize_plain", lambda s, d: collection(s, d).tokens, with_tokens("SELECT doc, pos::INTEGER AS pos, term FROM tokens"))
+add("tokenize_book", lambda s, d: collection(s, d, "book").tokens, with_tokens("SELECT doc, pos::INTEGER AS pos, term FROM tokens", BOOK))
+
+# dictionary
+DICTIONARY = "SELECT term, count(*) AS tf, count(DISTINCT doc) AS df FROM tokens GROUP BY term"
+add("dictionary", lambda s, d: collection(s, d).dictionary, with_tokens(DICTIONARY))
+add("dictionary_book", lambda s, d: collection(s, d, "book").dictionary, with_tokens(DICTIONARY, BOOK))
+add(
+    "collection_stats",
+    lambda s, d: collection(s, d).stats,
+    with_tokens("SELECT count(*) AS total_documents, sum(strlen(text))::BIGINT AS collection_bytes, sum(len(words))::BIGINT AS total_words, (SELECT count(*) FROM vocab) AS total_terms FROM docs"),
+)
+add("top_terms", lambda s, d: indexes.top_terms(collection(s, d).dictionary), with_tokens(f"SELECT * FROM ({DICTIONARY}) ORDER BY tf DESC, term LIMIT 1000"))
+add("terms_sorted", lambda s, d: indexes.sorted_terms(collection(s, d).dictionary), with_tokens("SELECT term FROM vocab ORDER BY term"))
+add("terms_by_frequency", lambda s, d: indexes.terms_by_frequency(collection(s, d).dictionary), with_tokens("SELECT term, count(*) AS tf FROM tokens GROUP BY term ORDER BY tf DESC, term"))
+add("term_entry", lambda s, d: collection(s, d).term_entry("the"), with_tokens("SELECT term, count(*) AS tf, count(DISTINCT doc) AS df FROM tokens WHERE term = 'the' GROUP BY term"))
+add(
+    "block_dictionary",
+    lambda s, d: indexes.block_dictionary(collection(s, d).postings),
+    with_tokens("SELECT term, count(*) AS frequency, list(doc ORDER BY doc) AS documents FROM postings GROUP BY term"),
+)
+
+# indexes
+add("postings", lambda s, d: collection(s, d).postings, with_tokens("SELECT term, doc FROM postings"))
+add("postings_book", lambda s, d: collection(s, d, "book").postings, with_tokens("SELECT term, doc FROM postings", BOOK))
+add("doc_ids", lambda s, d: collection(s, d).doc_ids, with_tokens("SELECT doc, id FROM ids"))
+add("incidence_matrix", lambda s, d: collection(s, d).matrix, with_tokens("SELECT term, id // 32 AS block, bit_or(1::BIGINT << (id % 32)::INTEGER) AS bits FROM pids GROUP BY term, id // 32"))
+add(
+    "bigram_index",
+    lambda s, d: collection(s, d).bigrams,
+    with_tokens("SELECT DISTINCT a.term || ' ' || b.term AS bigram, a.doc FROM tokens a JOIN tokens b ON a.doc = b.doc AND b.pos = a.pos + 1"),
+)
+add("coordinate_index", lambda s, d: collection(s, d).coordinates, with_tokens("SELECT term, doc, list(pos::INTEGER ORDER BY pos) AS positions FROM tokens GROUP BY term, doc"))
+add("suffix_index", lambda s, d: collection(s, d).suffixes, with_tokens("SELECT DISTINCT substr(term, i) AS suffix, term FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM vocab)"))
+add(
+    "rotation_index",
+    lambda s, d: collection(s, d).rotations,
+    with_tokens("SELECT DISTINCT substr(term, i + 1) || '$' || left(term, i) AS rotation, term FROM (SELECT term, unnest(range(0, length(term) + 1)) AS i FROM vocab)"),
+)
+add(
+    "trigram_index",
+    lambda s, d: collection(s, d).trigrams,
+    with_tokens("SELECT DISTINCT CASE WHEN strlen(term) < 3 THEN '$$' || term || '$$' ELSE substr('$$' || term, i, 3) END AS trigram, term FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM vocab)"),
+)
+
+
+# Boolean, phrase and proximity queries
+def flags(sql: str, *words: str) -> str:
+    """Documents of the universe for which `sql` over f0, f1, .. (has the word) holds."""
+    columns = ", ".join(f"bool_or(term = '{w}') AS f{i}" for i, w in enumerate(words))
+    names = ", ".join(f"coalesce(f.f{i}, false) AS f{i}" for i in range(len(words)))
+    return with_tokens(f"SELECT doc FROM (SELECT u.doc, {names} FROM universe u LEFT JOIN (SELECT doc, {columns} FROM postings GROUP BY doc) f USING (doc)) WHERE {sql}")
+
+
+def searched(query: str, index: str = "inverted", mode: str = STANDARD) -> Query:
+    return lambda s, d: collection(s, d).search(query, index, mode)
+
+
+BOOLEAN = {
+    "bool_and": ("the and for", flags("f0 AND f1", "the", "for")),
+    "bool_or": ("der or die", flags("f0 OR f1", "der", "die")),
+    "bool_not": ("not the", flags("NOT f0", "the")),
+    "bool_nested": ("(the or der) and not that", flags("(f0 OR f1) AND NOT f2", "the", "der", "that")),
+    "bool_chain": ("the and die and not for", flags("f0 AND f1 AND NOT f2", "the", "die", "for")),
+}
+for name, (text, sql) in BOOLEAN.items():
+    add(name, searched(text), sql)
+    add(f"{name}_matrix", searched(text, "matrix"), sql)
+    add(f"{name}_coordinate", searched(text, "coordinate"), sql)
+add("bool_trailing_legacy", searched("the that", mode=LEGACY), flags("f0", "the"))
+
+
+def stepped(words: str, offsets: tuple[int, ...]) -> str:
+    """Documents with the words at these distances from the first."""
+    joins = " ".join(f"JOIN tokens t{i} ON t{i}.doc = t0.doc AND t{i}.pos = t0.pos + {o} AND t{i}.term = '{w}'" for i, (w, o) in enumerate(zip(words.split(), offsets, strict=True)) if i)
+    return with_tokens(f"SELECT DISTINCT t0.doc FROM tokens t0 {joins} WHERE t0.term = '{words.split()[0]}'")
+
+
+def near(k: int, first: str, *others: str) -> str:
+    both = " ".join(f"JOIN tokens t{i} ON t{i}.doc = t.doc AND t{i}.term = '{w}' AND abs(t{i}.pos - t.pos) <= {k}" for i, w in enumerate(others))
+    return with_tokens(f"SELECT DISTINCT t.doc FROM tokens t {both} WHERE t.term = '{first}'")
+
+
+def paired(*pairs: str) -> str:
+    wanted = ", ".join(f"'{p}'" for p in pairs)
+    return with_tokens(f"SELECT doc FROM (SELECT DISTINCT a.doc, a.term || ' ' || b.term AS g FROM tokens a JOIN tokens b ON a.doc = b.doc AND b.pos = a.pos + 1) WHERE g IN ({wanted}) GROUP BY doc HAVING count(*) = {len(pairs)}")
+
+
+add("phrase2", searched('"the and"', "coordinate"), stepped("the and", (0, 1)))
+add("phrase3", searched('"the and the"', "coordinate"), stepped("the and the", (0, 1, 2)))
+add("phrase3_rare", searched('"and attion thanedble"', "coordinate"), stepped("and attion thanedble", (0, 1, 2)))
+add("phrase3_legacy", searched('" the and the "', "coordinate", LEGACY), stepped("the and the", (0, 1, 3)))
+add("bigram_phrase2", searched('"the and"', "bigram"), paired("the and"))
+add("bigram_phrase3", searched('"the and the"', "bigram"), paired("the and", "and the"))
+add("near1", searched("near/1(that for)", "coordinate"), near(1, "that", "for"))
+add("near2", searched("near/5(that for)", "coordinate"), near(5, "that", "for"))
+add("near3", searched("near/5(the that for)", "coordinate"), near(5, "the", "that", "for"))
+add(
+    "mixed_leaves",
+    searched('("the and" or near/3(that for)) and not die', "coordinate"),
+    with_tokens(
+        """SELECT doc FROM (SELECT a.doc FROM tokens a JOIN tokens b ON a.doc = b.doc AND b.pos = a.pos + 1 WHERE a.term = 'the' AND b.term = 'and'
+UNION SELECT a.doc FROM tokens a JOIN tokens b ON a.doc = b.doc AND abs(b.pos - a.pos) <= 3 WHERE a.term = 'that' AND b.term = 'for')
+WHERE doc NOT IN (SELECT doc FROM postings WHERE term = 'die')"""
+    ),
+)
+
+# wildcards: terms and documents
+GLOBS = {
+    "prefix": ("the*", "regexp_full_match(term, 'the.*')", "contains(term, 'the')"),
+    "suffix": ("*tion", "regexp_full_match(term, '.*tion')", "contains(term, 'tion')"),
+    "infix": ("th*er", "regexp_full_match(term, 'th.*er')", "len(list_filter(range(1, length(term) + 1), lambda i: starts_with(substr(term, i), 'th') AND (contains(substr(term, i), 'er') OR contains(left(term, i - 1), 'er')))) > 0"),
+    "question": ("th?t", "regexp_full_match(term, 'th.t')", "false"),
+    "medium": ("*tion*", "contains(term, 'tion')", "false"),
+    "multi": ("t*i*n*", "regexp_full_match(term, 't.*i.*n.*')", "regexp_full_match(term, 't.*i.*n.*')"),
+    "all": ("*", "true", "true"),
+}
+
+
+def expanded(pattern: str, mode: str = STANDARD) -> Query:
+    return lambda s, d: collection(s, d).expand(pattern, mode)
+
+
+for name, (pattern, standard, legacy) in GLOBS.items():
+    add(f"wild_{name}", searched(pattern, "wildcard"), with_tokens(f"SELECT DISTINCT doc FROM postings WHERE {standard}"))
+    add(f"wild_{name}_terms", expanded(pattern), with_tokens(f"SELECT term FROM vocab WHERE {standard}"))
+    add(f"wild_{name}_legacy", expanded(pattern, LEGACY), with_tokens(f"SELECT term FROM vocab WHERE {legacy}"))
+
+
+def by_index(pattern: str, name: str) -> Query:
+    """Expansion through one vocabulary index, whatever the pattern's complexity."""
+    from .wildcard import expand_by_rotation, expand_by_suffix, expand_by_trigram
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = collection(spark, sf_dir)
+        if name == "rotation":
+            return expand_by_rotation(c.rotations, pattern)
+        return expand_by_suffix(c.suffixes, pattern) if name == "suffix" else expand_by_trigram(c.trigrams, c.vocabulary, pattern)
+
+    return query
+
+
+for name, pattern in (("rotation", "th*er"), ("suffix", "*tion*"), ("trigram", "*tion")):
+    add(f"expand_{name}", by_index(pattern, name), with_tokens(f"SELECT term FROM vocab WHERE regexp_full_match(term, '{pattern.replace('*', '.*')}')"))
+add(
+    "wild_boolean",
+    searched("th*er and not *tion"),
+    with_tokens("SELECT doc FROM postings GROUP BY doc HAVING bool_or(regexp_full_match(term, 'th.*er')) AND NOT bool_or(regexp_full_match(term, '.*tion'))"),
+)
+
+
+# codecs and sizes
+def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = collection(spark, sf_dir)
+    return indexes.posting_deltas(indexes.posting_ids(c.postings, c.doc_ids))
+
+
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """term, doc: postings after coding and decoding; a block's running sum starts from the differences before it."""
+    from ..functions.codecs import decode_vb
+
+    c = collection(spark, sf_dir)
+
+    @F.pandas_udf("array<long>")
+    def numbers(column):
+        return column.map(decode_vb)
+
+    blocks = c.compressed.select("term", "block", numbers("data").alias("d"))
+    total = F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x)
+    from pyspark.sql import Window
+
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = blocks.withColumn("total", total).withColumn("before", before)
+    step = Window.partitionBy("term", "block").orderBy("n")
+    ids = shifted.select("term", "block", "before", F.posexplode("d").alias("n", "delta")).select("term", (F.col("before") + F.sum("delta").over(step)).alias("id"))
+    return ids.join(c.doc_ids, "id").select("term", "doc")
+
+
+VB_SIZE = "CASE WHEN delta < 128 THEN 1 WHEN delta < 16384 THEN 2 WHEN delta < 2097152 THEN 3 WHEN delta < 268435456 THEN 4 ELSE 5 END"
+VB_HEX = """CASE WHEN delta < 128 THEN printf('%02X', delta + 128)
+WHEN delta < 16384 THEN printf('%02X%02X', delta % 128, delta // 128 + 128)
+ELSE printf('%02X%02X%02X', delta % 128, (delta // 128) % 128, delta // 16384 + 128) END"""
+add("vb_sizes", lambda s, d: indexes.compressed_sizes(deltas(s, d)), with_tokens(f"SELECT term, count(*) AS n_postings, sum({VB_SIZE})::BIGINT AS vb_bytes FROM deltas GROUP BY term"))
+add(
+    "vb_bytes",
+    lambda s, d: indexes.compressed_postings(deltas(s, d)).select("term", "block", "n_postings", F.hex("data").alias("data")),
+    with_tokens(f"SELECT term, 0::BIGINT AS block, count(*) AS n_postings, string_agg({VB_HEX}, '' ORDER BY id) AS data FROM deltas GROUP BY term"),
+)
+add("vb_round_trip", decoded, with_tokens("SELECT term, doc FROM postings"))
+add(
+    "compression_stats",
+    lambda s, d: sizes.compression_stats(indexes.compressed_sizes(deltas(s, d))),
+    with_tokens(f"SELECT 4 * count(*) AS original_bytes, sum({VB_SIZE})::BIGINT AS compressed_bytes, sum({VB_SIZE}) / (4 * count(*)) AS ratio FROM deltas"),
+)
+add("front_pack", lambda s, d: collection(s, d).packed.drop("stored"), None)
+add("front_pack_sizes", lambda s, d: sizes.packing_stats(collection(s, d).packed), None)
+add("index_sizes", lambda s, d: collection(s, d).size_report(), None)
+add(
+    "inverted_size",
+    lambda s, d: (lambda c: sizes.inverted_bytes(c.postings, c.universe))(collection(s, d)),
+    with_tokens("SELECT 'inverted' AS structure, ((SELECT sum(strlen(term) + 48) FROM vocab) + (SELECT sum(strlen(doc)) FROM postings) + (SELECT sum(strlen(doc)) FROM universe))::BIGINT AS bytes"),
+)
+add(
+    "coordinate_size",
+    lambda s, d: (lambda c: sizes.coordinate_bytes(c.coordinates, c.universe))(collection(s, d)),
+    with_tokens("SELECT 'coordinate' AS structure, ((SELECT sum(strlen(term) + 24) FROM vocab) + (SELECT sum(strlen(doc) + 24) FROM postings) + 8 * (SELECT count(*) FROM tokens) + (SELECT sum(strlen(doc)) FROM universe))::BIGINT AS bytes"),
+)
+add(
+    "rotation_size",
+    lambda s, d: sizes.key_index_bytes(collection(s, d).rotations, "rotation", "rotation"),
+    with_tokens("SELECT 'rotation' AS structure, sum(n * (24 + strlen(term) + 1 + 48 + 24 + strlen(term)))::BIGINT AS bytes FROM (SELECT term, length(term) + 1 AS n FROM vocab)"),
+)
+add(
+    "matrix_size",
+    lambda s, d: (lambda c: sizes.matrix_bytes(c.dictionary, c.universe))(collection(s, d)),
+    with_tokens("SELECT 'matrix' AS structure, ((SELECT sum(strlen(term)) FROM vocab) + (SELECT sum(strlen(doc)) FROM universe) + (SELECT count(*) FROM vocab) * ceil((SELECT count(*) FROM universe) / 64) * 8)::BIGINT AS bytes"),
+)
+add(
+    "index_matrix_ratio",
+    lambda s, d: (lambda c: sizes.ratio(sizes.coordinate_bytes(c.coordinates, c.universe), sizes.inverted_bytes(c.postings, c.universe), "coordinate/inverted"))(collection(s, d)),
+    None,
+)
