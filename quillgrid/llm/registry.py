@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
     "op1_bounded_ring": sharding.sharding_query,
     "op6_quotient_filter": exact_dedup.exact_dedup_query,
     "op7_systematic_mix": mixing.mixing_query,
+    "op10_simhash_vp_tree": simhash.simhash_query,
 }
 
 ORACLE_SQL = {
