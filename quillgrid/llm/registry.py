@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import decontamination, exact_dedup, mixing, sharding, simhash
 
 QUERIES = {
     "op1_bounded_ring": sharding.sharding_query,
+    "op2_prefix_join": decontamination.decontamination_query,
     "op6_quotient_filter": exact_dedup.exact_dedup_query,
     "op7_systematic_mix": mixing.mixing_query,
     "op10_simhash_vp_tree": simhash.simhash_query,
 }
 
 ORACLE_SQL = {
+    "op2_prefix_join": decontamination.DECONTAMINATION_SQL,
     "op6_quotient_filter": exact_dedup.EXACT_DEDUP_SQL,
     "op7_systematic_mix": mixing.MIXING_SQL,
 }
