@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, quality, sharding, simhash
+from . import decontamination, exact_dedup, mixing, passages, quality, sharding, simhash
 
 QUERIES = {
     "op1_bounded_ring": sharding.sharding_query,
     "op2_prefix_join": decontamination.decontamination_query,
     "op3_ordinal_quality": quality.quality_query,
+    "op5_paragraph_minhash": passages.passages_query,
     "op6_quotient_filter": exact_dedup.exact_dedup_query,
     "op7_systematic_mix": mixing.mixing_query,
     "op10_simhash_vp_tree": simhash.simhash_query,
