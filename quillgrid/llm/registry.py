@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, mixing, passages, quality, sharding, simhash
+from . import decontamination, exact_dedup, licenses, mixing, passages, quality, sharding, simhash
 
 QUERIES = {
     "op1_bounded_ring": sharding.sharding_query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_paragraph_minhash": passages.passages_query,
     "op6_quotient_filter": exact_dedup.exact_dedup_query,
     "op7_systematic_mix": mixing.mixing_query,
+    "op8_license_rules": licenses.licenses_query,
     "op10_simhash_vp_tree": simhash.simhash_query,
 }
 
