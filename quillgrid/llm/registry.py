@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, licenses, mixing, passages, quality, sharding, simhash
+from . import decontamination, exact_dedup, licenses, mixing, passages, quality, quotations, sharding, simhash
 
 QUERIES = {
     "op1_bounded_ring": sharding.sharding_query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quotient_filter": exact_dedup.exact_dedup_query,
     "op7_systematic_mix": mixing.mixing_query,
     "op8_license_rules": licenses.licenses_query,
+    "op9_quotation_links": quotations.conversations_query,
     "op10_simhash_vp_tree": simhash.simhash_query,
 }
 
@@ -19,4 +20,5 @@ ORACLE_SQL = {
     "op2_prefix_join": decontamination.DECONTAMINATION_SQL,
     "op6_quotient_filter": exact_dedup.EXACT_DEDUP_SQL,
     "op7_systematic_mix": mixing.MIXING_SQL,
+    "op9_quotation_links": quotations.QUOTATIONS_SQL,
 }
