@@ -15,20 +15,19 @@ first occurrence stays and the others are removals.
 
 from __future__ import annotations
 
-import functools
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, written
 from .components import connected_components
 from .decontamination import FOLD
-from .exact_dedup import bitmap_of
+from .exact_dedup import BITMAP_BITS, bitmap_of
 
 REACH = 6
 LONGEST = 64
@@ -38,7 +37,7 @@ BANDS, ROWS = 6, 2
 SLICE_BYTES = 16 << 20
 FLUSH = 1 << 22
 GROUP = 1024
-GATHER = 1 << 15
+GATHER = 1 << 17
 
 #: Words that a run of equal words, or of paragraphs shared with one document, needs; and the step and reach of contexts.
 RUN = 44
@@ -49,7 +48,6 @@ _RNG = np.random.default_rng(20)
 _MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-WORD = re.compile(rb"\S+")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -57,35 +55,46 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(27))
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
-
-
 class Layout:
-    """Texts side by side in one array of word hashes, cut into paragraphs.
+    """Texts side by side, as word hashes in one array, cut into paragraphs.
 
     Texts are kept apart by REACH empty places, so that no break depends on a neighbouring text. starts,
-    ends, first and last are places per paragraph: its own and its text's.
+    ends, first and last are places per paragraph: its own and its text's; owner is its text.
     """
 
-    def __init__(self, texts: list[np.ndarray]):
-        sizes = np.array([len(t) for t in texts], np.int64)
-        begin = np.r_[0, np.cumsum(sizes + REACH)]
-        self.hashes = np.zeros(begin[-1], np.uint64)
-        for at, t in zip(begin.tolist(), texts, strict=False):
-            self.hashes[at : at + len(t)] = t
-        text = np.flatnonzero(sizes)
-        breaks = self._breaks(begin, sizes)
-        starts = np.unique(np.r_[begin[text], breaks])
-        owner = np.searchsorted(begin, starts, "right") - 1
-        ends = np.minimum(np.r_[starts[1:], len(self.hashes)], begin[owner] + sizes[owner])
-        if len(starts) and (ends - starts > LONGEST).any():
-            starts = np.concatenate([np.arange(s, e, LONGEST) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
-            owner = np.searchsorted(begin, starts, "right") - 1
-            ends = np.minimum(np.r_[starts[1:], len(self.hashes)], begin[owner] + sizes[owner])
-        self.starts, self.ends, self.owner = starts, ends, owner
-        self.first, self.last = begin[owner], begin[owner] + sizes[owner]
+    def __init__(self, texts: list[bytes]):
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        self.at = np.r_[0, np.cumsum(sizes)]
+        self.buffer = b" ".join([*texts, b""])
+        raw = np.frombuffer(self.buffer, np.uint8)
+        edges = np.flatnonzero(np.diff(np.r_[False, raw != 32, False]))
+        self.word_starts, self.word_ends = edges[::2], edges[1::2]
+        sums = np.r_[np.uint64(0), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(len(raw)))]
+        words = (sums[self.word_ends] - sums[self.word_starts]) * _inverses(len(raw))[self.word_starts]
+        words = mixed(mixed(words) + (self.word_ends - self.word_starts).astype(np.uint64))
+        self.sizes = np.diff(np.searchsorted(self.word_starts, self.at))
+        self.begin = np.r_[0, np.cumsum(self.sizes + REACH)]
+        self.hashes = np.zeros(self.begin[-1], np.uint64)
+        self.hashes[np.arange(len(words)) + REACH * np.repeat(np.arange(len(texts)), self.sizes)] = words
+        self._cut(np.unique(np.r_[self.begin[np.flatnonzero(self.sizes)], self._breaks(self.begin, self.sizes)]))
+        if len(self.starts) and (self.ends - self.starts > LONGEST).any():
+            self._cut(np.concatenate([np.arange(s, e, LONGEST) for s, e in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]))
+
+    def _cut(self, starts: np.ndarray) -> None:
+        owner = np.searchsorted(self.begin, starts, "right") - 1
+        self.starts, self.owner, self.first, self.last = starts, owner, self.begin[owner], self.begin[owner] + self.sizes[owner]
+        self.ends = np.minimum(np.r_[starts[1:], len(self.hashes)], self.last) if len(starts) else starts
+
+    def whole(self) -> Layout:
+        """Each text as one paragraph."""
+        self._cut(self.begin[:-1])
+        self.ends = self.last
+        return self
+
+    def spans(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the chosen paragraphs in the buffer."""
+        gaps = REACH * self.owner[which]
+        return self.word_starts[self.starts[which] - gaps], self.word_ends[self.ends[which] - 1 - gaps]
 
     def _breaks(self, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Places that start a paragraph inside a text: after the least of the pair hashes within REACH."""
@@ -129,31 +138,44 @@ class Layout:
             out[usable, b] = value[usable]
         return out
 
+    def names(self, which: np.ndarray) -> np.ndarray:
+        """64-bit hashes of the chosen paragraphs' words."""
+        sums = np.r_[np.uint64(0), np.cumsum(mixed(self.hashes) * _powers(len(self.hashes)))]
+        starts, ends = self.starts[which], self.ends[which]
+        return mixed((sums[ends] - sums[starts]) * _inverses(len(self.hashes) + 1)[starts] + (ends - starts).astype(np.uint64))
+
     def contexts(self, which: np.ndarray) -> np.ndarray:
-        """Per chosen paragraph, hashes of the 4, 8, .. 48 words before it and after it; 0 where the text is shorter."""
+        """Per chosen paragraph, 16-bit hashes of the 4, 8, .. 48 words before it and after it; 0 where the text is shorter."""
         n, steps = len(self.hashes), range(STEP, CONTEXT + 1, STEP)
         sums = np.r_[np.uint64(0), np.cumsum(mixed(self.hashes) * _powers(n))]
         back = _inverses(n + 1)
         starts, ends, first, last = self.starts[which], self.ends[which], self.first[which], self.last[which]
-        out = np.zeros((len(which), 2 * len(steps)), np.int32)
+        out = np.zeros((len(which), 2 * len(steps)), np.uint16)
         for c, k in enumerate(steps):
             for column, low in ((c, starts - k), (len(steps) + c, ends)):
                 fits = (low >= first) & (low + k <= last)
                 # a sum over powers of the place, brought to place 0 by the inverse power
                 value = (sums[low[fits] + k] - sums[low[fits]]) * back[low[fits]]
-                out[fits, column] = (mixed(value) >> np.uint64(33)).astype(np.int32) | 1
+                out[fits, column] = (mixed(value) >> np.uint64(48)).astype(np.uint16) | 1
         return out
 
 
-@functools.lru_cache(8)
+_GROWN: dict[int, np.ndarray] = {}
+
+
+def _series(factor: int, n: int) -> np.ndarray:
+    """factor ** 0 .. factor ** (n - 1), modulo 2 ** 64."""
+    if len(_GROWN.get(factor, ())) < n:
+        _GROWN[factor] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, GATHER) * 2, np.uint64(factor))])
+    return _GROWN[factor][:n]
+
+
 def _powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(n, _PRIME))
+    return _series(int(_PRIME), n)
 
 
-@functools.lru_cache(8)
 def _inverses(n: int) -> np.ndarray:
-    inverse = np.uint64(pow(int(_PRIME), -1, 1 << 64))
-    return np.cumprod(np.full(n, inverse)) * _PRIME
+    return _series(pow(int(_PRIME), -1, 1 << 64), n)
 
 
 def shingle_set(words: list) -> set[tuple]:
@@ -169,23 +191,26 @@ def similar(a: set, b: set, similarity: float = SIMILARITY) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def laid_out(texts: Iterator[bytes | None], fold: bool = True) -> Iterator[tuple[Layout, list[list[bytes]]]]:
-    """Layouts of some texts at a time, with their words."""
-    hashes, words, size = [], [], 0
+def laid_out(texts: Iterator[bytes | None], fold: bool = True) -> Iterator[Layout]:
+    """Layouts of some texts at a time; every text is in one of them, in order."""
+    held, size = [], 0
     for t in texts:
-        w = (t or b"").translate(FOLD).split() if fold else bytes(t).split()
-        hashes.append(word_hashes(w))
-        words.append(w)
-        size += len(w)
-        if size >= GATHER or len(words) >= GATHER // 8:
-            yield Layout(hashes), words
-            hashes, words, size = [], [], 0
-    if words:
-        yield Layout(hashes), words
+        held.append((t or b"").translate(FOLD) if fold else bytes(t))
+        size += len(held[-1])
+        if size >= GATHER or len(held) >= GATHER // 64:
+            yield Layout(held)
+            held, size = [], 0
+    if held:
+        yield Layout(held)
+
+
+def bloom(values: np.ndarray, size: int) -> list[np.ndarray]:
+    """Three places in a bitmap of `size` bits for each value."""
+    return [(mixed(values + np.uint64(k) * _PRIME) >> np.uint64(1)).astype(np.int64) % size for k in range(3)]
 
 
 def colliding_values(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """fp: band values that occur at least twice, by merging sorted values of partitions slice by slice."""
+    """fp: bitmap places of band values that occur at least twice, by merging sorted values of partitions slice by slice."""
     bits = max(0, min(16, (total_bytes // SLICE_BYTES).bit_length()))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,7 +224,7 @@ def colliding_values(docs: DataFrame, total_bytes: int) -> DataFrame:
 
         held, size = [], 0
         for b in batches:
-            for layout, _ in laid_out(b["_t"]):
+            for layout in laid_out(b["_t"]):
                 values = layout.bands().ravel()
                 held.append(values[values != _MAX])
                 size += len(held[-1])
@@ -211,22 +236,14 @@ def colliding_values(docs: DataFrame, total_bytes: int) -> DataFrame:
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         values, counts = np.unique(np.concatenate([np.frombuffer(d, np.uint64) for d in part["data"]]), return_counts=True)
-        return pd.DataFrame({"fp": values[counts > 1].view(np.int64)})
+        places = bloom(values[counts > 1], BITMAP_BITS)
+        return pd.DataFrame({"fp": np.unique(np.concatenate(places))})
 
     return docs.select("_t").mapInPandas(build, "slice int, data binary").groupBy("slice").applyInPandas(merge, "fp long")
 
 
-def whole_bands(texts: Iterator[bytes]) -> Iterator[np.ndarray]:
-    """Band values of each text taken as one paragraph."""
-    for layout, words in laid_out(texts, fold=False):
-        sizes = np.array([len(w) for w in words])
-        begin = np.r_[0, np.cumsum(sizes + REACH)][:-1]
-        layout.starts, layout.ends = begin, begin + sizes
-        yield from layout.bands()
-
-
 def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """Distinct paragraphs (id, text) -> edges a, b whose components are those of all similar colliding pairs.
+    """Distinct paragraphs (h, text) -> edges a, b whose components are those of all similar colliding pairs.
 
     A band value with more than `group` paragraphs is cut into blocks, and each pair of blocks is compared
     in its own task; pairs that a task has already joined aren't compared again.
@@ -234,9 +251,9 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int
 
     def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            values = [np.unique(v).view(np.int64) for v in whole_bands(b["text"])]
-            sizes = [len(v) for v in values]
-            yield pd.DataFrame({"band": np.concatenate([np.zeros(0, np.int64), *values]), "id": np.repeat(b["id"].to_numpy(), sizes), "text": np.repeat(b["text"].to_numpy(), sizes)})
+            values = np.concatenate([np.zeros((0, BANDS), np.uint64), *(layout.whole().bands() for layout in laid_out(b["text"], fold=False))])
+            rows = pd.DataFrame({"band": values.view(np.int64).ravel(), "h": np.repeat(b["h"].to_numpy(), BANDS)})
+            yield rows[rows["band"] != -1].drop_duplicates()
 
     def verify(ids: list[int], blocks: list[int], texts: list[bytes], own: bool) -> Iterator[tuple[int, int]]:
         sets = [shingle_set(bytes(t).split()) for t in texts]
@@ -257,7 +274,7 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, edges = None, [], []
         for b in batches:
-            for band, i, j, *row in zip(b["band"], b["i"], b["j"], b["id"], b["block"], b["text"], strict=True):
+            for band, i, j, *row in zip(b["band"], b["i"], b["j"], b["h"], b["block"], b["text"], strict=True):
                 if (band, i, j) != at:
                     if len(held) > 1:
                         edges += verify(*map(list, zip(*held, strict=True)), at[1] == at[2])
@@ -268,15 +285,53 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int
         if len(held) > 1:
             yield pd.DataFrame(list(verify(*map(list, zip(*held, strict=True)), at[1] == at[2])), columns=["a", "b"])
 
-    rows = durable(texts.select("id", "text").mapInPandas(bands, "band long, id long, text binary"))
-    counts = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(counts, "band").withColumn("k", F.ceil(F.col("n") / group).cast("int"))
-    shared = shared.withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    spread = shared.select("band", "id", "text", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    spread = spread.select("band", "id", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    rows = texts.select("h", "text").mapInPandas(bands, "band long, h long")
+    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1").withColumn("k", F.ceil(F.col("n") / group).cast("int"))
+    shared = durable(shared.withColumn("block", F.pmod(F.col("h"), F.col("k")).cast("int")).drop("n"))
+    spread = shared.join(texts.select("h", "text"), "h").select("band", "h", "text", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    spread = spread.select("band", "h", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     return spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, "a long, b long")
 
 
+def candidate_paragraphs(docs: DataFrame, kind: str, bits) -> DataFrame:
+    """Two kinds of rows: a text's (row, key, n_words; h null), and its paragraphs with a collision (row, key, place)."""
+    fields = ["row", "key", "n_words", "start", "end", "n", "h", "text", "around"]
+    schema = f"row long, key {kind}, n_words long, start int, end int, n int, h long, text binary, around binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, row = bits.value, TaskContext.get().partitionId() << 33
+        for b in batches:
+            keys, done = b.column(0), 0
+            for layout in laid_out(x.as_buffer().to_pybytes() if x.is_valid else None for x in b.column(1)):
+                values = layout.bands()
+                hit = values != _MAX
+                for at in bloom(values, len(marks) * 8):
+                    hit &= (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                hit = np.flatnonzero(hit.any(axis=1))
+                low, high = layout.spans(hit)
+                owner, n = layout.owner[hit], len(layout.sizes)
+                texts = [b" ".join(layout.buffer[s:e].split()) for s, e in zip(low.tolist(), high.tolist(), strict=True)]
+                around = layout.contexts(hit)
+                none = lambda k: pa.nulls(n, k)  # noqa: E731, B023
+                here = keys.slice(done, n)
+                columns = [
+                    pa.array(np.r_[np.arange(n), owner] + row),
+                    pa.concat_arrays([here, here.take(pa.array(owner))]),
+                    pa.concat_arrays([pa.array(layout.sizes.astype(np.int64)), pa.nulls(len(hit), pa.int64())]),
+                    pa.concat_arrays([none(pa.int32()), pa.array((low - layout.at[owner]).astype(np.int32))]),
+                    pa.concat_arrays([none(pa.int32()), pa.array((high - layout.at[owner]).astype(np.int32))]),
+                    pa.concat_arrays([none(pa.int32()), pa.array((layout.ends - layout.starts)[hit].astype(np.int32))]),
+                    pa.concat_arrays([none(pa.int64()), pa.array(layout.names(hit).view(np.int64))]),
+                    pa.concat_arrays([none(pa.binary()), pa.array(texts, pa.binary())]),
+                    pa.concat_arrays([none(pa.binary()), pa.array([a.tobytes() for a in around], pa.binary())]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, fields)
+                done += n
+                row += n
+
+    return docs.mapInArrow(run, schema)
+
+
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
     """One row per row of `df`: _key, n_words, passages.
 
@@ -292,49 +347,31 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", si
     docs = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("binary").alias("_t"))
     size = docs.agg(F.sum(F.octet_length("_t"))).head()[0] or 0
     marks = spark.sparkContext.broadcast(bitmap_of(colliding_values(docs, size)))
-
-    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = marks.value
-        for b in batches:
-            found, texts = [], iter(b["_t"])
-            for layout, words in laid_out(b["_t"]):
-                values = layout.bands()
-                at = values.view(np.int64) % (len(bits) * 8)
-                hit = np.flatnonzero(((bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (values != _MAX)).any(axis=1))
-                low, high = (layout.starts - layout.first)[hit].tolist(), (layout.ends - layout.first)[hit].tolist()
-                around, cuts = layout.contexts(hit), np.searchsorted(layout.owner[hit], np.arange(len(words) + 1)).tolist()
-                for k, w in enumerate(words):
-                    t, mine = next(texts), range(cuts[k], cuts[k + 1])
-                    spans = [m.span() for m in WORD.finditer(t.translate(FOLD))] if mine else []
-                    found.append((len(w), [{"start": spans[low[i]][0], "end": spans[high[i] - 1][1], "n": high[i] - low[i], "text": b" ".join(w[low[i] : high[i]]), "around": around[i]} for i in mine]))
-            yield pd.DataFrame({"_key": b["_key"], "n_words": [f[0] for f in found], "p": [f[1] for f in found]})
-
-    kind = df.schema[key].dataType.simpleString()
-    rows = durable(docs.mapInPandas(candidates, f"_key {kind}, n_words long, p array<struct<start:int,end:int,n:int,text:binary,around:array<int>>>"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    places = rows.select("_row", "_key", F.explode("p").alias("p")).select("_row", "_key", "p.*")
-    order = F.struct(F.col("_key").isNull().alias("none"), "_key", "_row", "start", "around")
-    texts = durable(places.groupBy("text").agg(F.count("*").alias("n"), F.min("_row").alias("low"), F.max("_row").alias("high"), F.min(order).alias("first")).withColumn("id", F.monotonically_increasing_id()))
+    rows = written(candidate_paragraphs(docs, df.schema[key].dataType.simpleString(), marks))
+    places = rows.where("h is not null").select("row", "key", "start", "end", "n", "h", "around")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "row", "start", "around")
+    texts = rows.where("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high"), F.min(order).alias("first"), F.min("text").alias("text"))
+    texts = written(texts)
     links = durable(connected_components(verified_links(texts, similarity)))
-    classed = texts.join(links, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("root", "id"))
-    classes = classed.groupBy("class").agg(F.sum("n").alias("occurrences"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low != high")
-    known = durable(classed.select("text", "class").join(classes.select("class", "occurrences", "first"), "class"))
-    found = places.join(known, "text")
-    removed = (F.col("_row") != F.col("first._row")) | (F.col("start") != F.col("first.start"))
-    same = F.size(F.filter(F.zip_with("around", "first.around", lambda a, b: (a == b) & (a != 0)), lambda x: x))
-    item = F.struct("start", "end", "n", "class", "occurrences", F.col("first._row").alias("home"), F.col("first._key").alias("source"), F.col("first.start").alias("place"), (F.col("n") + STEP * same).alias("run"), removed.alias("removed"))
+    classed = texts.join(links, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("class"), "n", "low", "high", "first")
+    classes = classed.groupBy("class").agg(F.sum("n").alias("occurrences"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low != high").drop("low", "high")
+    known = classed.select("h", "class").join(classes, "class")
+    found = places.join(known, "h")
+    removed = (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))
+    halves = [f"cast(substring(around, {2 * i + 1}, 2) = substring(first.around, {2 * i + 1}, 2) and substring(around, {2 * i + 1}, 2) != X'0000' as int)" for i in range(2 * CONTEXT // STEP)]
+    found = found.select("row", "start", "end", F.col("n").alias("words"), "class", "occurrences", F.col("first.row").alias("home"), F.col("first.key").alias("source"), F.col("first.start").alias("place"), (F.col("n") + STEP * F.expr(" + ".join(halves))).alias("run"), removed.alias("removed"))
+    item = F.struct("start", "end", "words", "class", "occurrences", "source", "place", "run", "removed")
     # what a row shares with each source, and whether that is enough
-    shared = found.groupBy("_row", F.col("first._row").alias("home")).agg(F.sum("n").alias("words"), F.collect_list(item).alias("items"))
+    shared = written(found.groupBy("row", "home").agg(F.sum("words").alias("words"), F.collect_list(item).alias("items")))
     enough = F.filter("items", lambda p: p["removed"] & ((p["run"] >= run) | (F.col("words") >= run)))
-    removals = durable(shared.where("_row != home").select("_row", F.explode(enough).alias("p")))
+    removals = shared.where("row != home").select("row", F.explode(enough).alias("p"))
     kept = removals.select(F.col("p.class").alias("class")).distinct()
-    stays = found.where(~removed).join(kept, "class").select("_row", item.alias("p"))
-    inside = shared.where("_row = home").select("_row", F.explode(F.filter("items", lambda p: p["removed"])).alias("p"))
-    inside = inside.join(kept, F.col("p.class") == F.col("class"), "left_semi")
+    own = shared.where("row = home").select("row", F.explode("items").alias("p")).join(kept, F.col("p.class") == F.col("class"), "left_semi")
     name = F.concat_ws(":", F.coalesce(F.col("p.source").cast("string"), F.lit("null")), F.col("p.place"))
-    last = F.struct("p.start", "p.end", "p.n", name.alias("class"), "p.occurrences", "p.source", "p.removed")
-    listed = removals.unionByName(stays).unionByName(inside).groupBy("_row").agg(F.array_sort(F.collect_list(last)).alias("passages"))
-    return rows.select("_row", "_key", "n_words").join(listed, "_row", "left").select("_key", "n_words", F.coalesce("passages", F.array()).alias("passages"))
+    last = F.struct("p.start", "p.end", F.col("p.words").alias("n"), name.alias("class"), "p.occurrences", "p.source", "p.removed")
+    listed = removals.unionByName(own).groupBy("row").agg(F.array_sort(F.collect_list(last)).alias("passages"))
+    texts_of = rows.where("h is null").select("row", "key", "n_words").join(listed, "row", "left")
+    return texts_of.select(F.col("key").alias("_key"), "n_words", F.coalesce("passages", F.array()).alias("passages"))
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
