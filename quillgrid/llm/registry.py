@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, licenses, mixing, passages, quality, quotations, sharding, simhash
+from . import decontamination, exact_dedup, licenses, mixing, passages, personal, quality, quotations, sharding, simhash
 
 QUERIES = {
     "op1_bounded_ring": sharding.sharding_query,
     "op2_prefix_join": decontamination.decontamination_query,
     "op3_ordinal_quality": quality.quality_query,
+    "op4_skip_chain_crf": personal.personal_query,
     "op5_paragraph_minhash": passages.passages_query,
     "op6_quotient_filter": exact_dedup.exact_dedup_query,
     "op7_systematic_mix": mixing.mixing_query,
