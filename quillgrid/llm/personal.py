@@ -179,14 +179,16 @@ class Field:
     skip: np.ndarray
 
 
-def fit(graphs: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[int, int, int]], list[int]]], rounds: int = 150, penalty: float = 1e-4) -> Field:
+def fit(graphs: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[int, int, int]], list[int]]], rounds: int = 250, penalty: float = 1e-6) -> Field:
     """Pseudo-likelihood: each label given its features and its neighbours' labels.
 
-    Every labelled entity also stands a second time without its context, joined to the first by a skip
-    edge: repeats are rare in a sample, and they are what the skip potential is for.
+    Every token with digits or signs also stands a second time without its context, joined to the first by
+    a skip edge, of either kind in turn: repeats are rare in a sample, and they are what the skip potential
+    is for.
     """
     size, node, feature, y, left, right, skips = len(LABELS), [], [], [], [], [], []
-    plain = zlib.crc32(b"before=word") % DIMENSIONS, zlib.crc32(b"after=word") % DIMENSIONS
+    bare = zlib.crc32(b"before=word") % DIMENSIONS, zlib.crc32(b"after=word") % DIMENSIONS
+    plain = zlib.crc32(b"plain") % DIMENSIONS
     at = 0
     for features, chain, skip, labels in graphs:
         for k, f in enumerate(features):
@@ -197,12 +199,12 @@ def fit(graphs: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[in
         skips += [(at + a, at + b, t) for a, b, t in skip]
         extra = at + len(features)
         for k, label in enumerate(labels):
-            if label:
-                f = [*features[k][:4], *plain]
+            if label or plain not in features[k]:
+                f = [*features[k][:4], *bare, *features[k][6:]]
                 node += [extra] * len(f)
                 feature += f
                 y.append(label)
-                skips.append((at + k, extra, SAME))
+                skips.append((at + k, extra, extra % 2))
                 extra += 1
         at = extra
     field = Field(np.zeros((DIMENSIONS, size)), np.zeros((size, size)), np.zeros((2, size, size)))
@@ -217,8 +219,7 @@ def fit(graphs: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[in
     a, b = left[:, 0], left[:, 1]
     i, j, t = skips[:, 0], skips[:, 1], skips[:, 2]
     for step in range(1, rounds + 1):
-        z = np.zeros((len(y), size))
-        np.add.at(z, node, field.unary[feature])
+        z = np.stack([np.bincount(node, field.unary[feature, k], len(y)) for k in range(size)], axis=1)
         np.add.at(z, b, field.chain[y[a]])
         np.add.at(z, a, field.chain[:, y[b]].T)
         np.add.at(z, j, field.skip[t, y[i]])
@@ -228,7 +229,8 @@ def fit(graphs: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[in
         p /= p.sum(1, keepdims=True)
         off = (p - one) / len(y)
         gradients = [np.zeros_like(w) for w in weights]
-        np.add.at(gradients[0], feature, off[node])
+        for k in range(size):
+            gradients[0][:, k] = np.bincount(feature, off[node, k], DIMENSIONS)
         np.add.at(gradients[1], y[a], off[b])
         np.add.at(gradients[1].T, y[b], off[a])
         np.add.at(gradients[2], (t, y[i]), off[j])
@@ -238,7 +240,7 @@ def fit(graphs: list[tuple[list[list[int]], list[tuple[int, int]], list[tuple[in
             g = g + penalty * w
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+            w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     return field
 
 
@@ -277,7 +279,7 @@ def marginals(graphs: list[Graph], field: Field, rounds: int = ROUNDS) -> list[n
 
 
 def added_spans(text: str, graph: Graph, p: np.ndarray, base: list[Span], sure: float = SURE) -> list[Span]:
-    """Spans of sure labels that touch no base span; neighbouring phone tokens are one span."""
+    """Spans of sure labels that touch no base span; neighbouring phone tokens are one span, of seven digits or more."""
     taken = sorted((s, e) for _, s, e in base)
     found: list[Span] = []
     best = p.argmax(1)
@@ -289,7 +291,7 @@ def added_spans(text: str, graph: Graph, p: np.ndarray, base: list[Span], sure:
         core = word.strip(EDGE)
         if LABELS[label] == "secret":
             core = core.split("=")[-1].strip(EDGE)
-        if len(core) < 4:
+        if not core or len(core) < 4 and LABELS[label] != "phone":
             continue
         start = a + word.rindex(core)
         end = start + len(core)
@@ -299,7 +301,7 @@ def added_spans(text: str, graph: Graph, p: np.ndarray, base: list[Span], sure:
             found[-1] = ("phone", found[-1][1], end)
         else:
             found.append((LABELS[label], start, end))
-    return found
+    return [x for x in found if x[0] != "phone" or sum(c.isdigit() for c in text[x[1] : x[2]]) >= 7]
 
 
 def fit_on(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
