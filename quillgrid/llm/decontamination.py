@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable, table
+from .common import ascii_lower, durable, from_text, packed, table
 
 WINDOW = 10
 BOUND_BYTES = 64 << 20
@@ -83,8 +83,8 @@ def digest(items: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def broadcast_scan(docs: DataFrame, windows: dict[tuple[bytes, ...], set[str]], text: str) -> DataFrame:
-    """The columns of docs with _n_words, _n_hit and _items, for windows small enough to send to every task."""
+def broadcast_scan(docs: DataFrame, windows: dict[tuple[bytes, ...], set[str]], text: str, keep_text: bool = True) -> DataFrame:
+    """docs with _n_words, _n_hit and _items, for windows small enough to send to every task."""
     spark = docs.sparkSession
     known = {s for w in windows for s in shingles(w)}
     firsts = {a for a, _ in known}
@@ -107,21 +107,16 @@ def broadcast_scan(docs: DataFrame, windows: dict[tuple[bytes, ...], set[str]],
     counts = Counter({(bytes(r["a"]), None if r["s"] is None else bytes(r["s"])): r["n"] for r in totals.collect()})
     gate = spark.sparkContext.broadcast(gate_of(windows, counts))
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(texts: list[bytes | None]) -> Iterator[tuple[int, int, list[str]]]:
         held = gate.value
-        for b in batches:
-            rows = []
-            for t in b.pop("_t"):
-                words, spans, items = words_of(t), [], set()
-                for start, window, names in occurrences(words, held):
-                    spans.append((start, start + len(window)))
-                    items.update(names)
-                rows.append((len(words), covered(spans), sorted(items)))
-            yield b.assign(_n_words=[r[0] for r in rows], _n_hit=[r[1] for r in rows], _items=[r[2] for r in rows])
+        for t in texts:
+            words, spans, items = words_of(t), [], set()
+            for start, window, names in occurrences(words, held):
+                spans.append((start, start + len(window)))
+                items.update(names)
+            yield len(words), covered(spans), sorted(items)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(text).schema.fields)
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text], F.col(f"`{text}`").cast("binary").alias("_t"))
-    return kept.mapInPandas(scan, f"{schema}, _n_words long, _n_hit long, _items array<string>")
+    return from_text(docs, text, "_n_words long, _n_hit long, _items array<string>", scan, keep_text=keep_text)
 
 
 def word_column(text: Column) -> Column:
@@ -130,7 +125,8 @@ def word_column(text: Column) -> Column:
 
 def shuffled_join(docs: DataFrame, bench: DataFrame, text: str, width: int = WINDOW) -> DataFrame:
     """The same result where the benchmark is too large to broadcast; bench has _item and its text column _t."""
-    rows = durable(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_w", word_column(F.col(f"`{text}`"))).drop(text))
+    kept = docs.drop("_n_words", "_n_hit", "_items")
+    rows = durable(packed(kept, F.monotonically_increasing_id().alias("_row"), word_column(F.col(f"`{text}`")).alias("_w")))
     n = F.size("_w")
     items = bench.select("_item", word_column(F.col("_t")).alias("_w")).where(n > 0)
     starts = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
@@ -160,39 +156,39 @@ def shuffled_join(docs: DataFrame, bench: DataFrame, text: str, width: int = WIN
     both = both.withColumn("_real", real)
     hit = F.size(F.array_distinct(F.flatten(F.transform("_real", lambda c: F.sequence(c["_start"], c["_start"] + F.size(c["_window"]) - 1)))))
     names = F.sort_array(F.array_distinct(F.flatten(F.transform("_real", lambda c: c["_names"]))))
-    return both.withColumns({"_n_words": F.size("_w").cast("long"), "_n_hit": hit.cast("long"), "_items": names}).drop("_real", "_found", "_w", "_row")
+    return both.select("_all.*", F.size("_w").cast("long").alias("_n_words"), hit.cast("long").alias("_n_hit"), names.alias("_items"))
 
 
-def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, bound: int = BOUND_BYTES) -> DataFrame:
-    """Every row of `docs`, without its text, with _n_words, _n_hit and _items (item ids as sorted strings).
+def contamination(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WINDOW, bound: int = BOUND_BYTES, keep_text: bool = True) -> DataFrame:
+    """`docs` with _n_words, _n_hit and _items (item ids as sorted strings).
 
     Null texts and texts without words have no words and no hits; items without words have no windows.
     Items with equal windows are all named; a null item id is the string "null". Repeated rows are judged
-    each on their own. An empty benchmark hits nothing. Columns that start with an underscore are this
-    operator's own.
+    each on their own. An empty benchmark hits nothing. Columns with the new names are replaced. Without keep_text
+    the text column is left out.
     """
     named = bench.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("_item"), F.col(f"`{item_text}`").alias("_t"))
     size = named.agg(F.sum(F.octet_length("_t"))).head()[0] or 0
     if size * width > bound:  # each word stands in up to `width` windows
-        return shuffled_join(docs, named, text, width)
+        joined = shuffled_join(docs, named, text, width)
+        return joined if keep_text else joined.drop(text)
     windows: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
     for r in named.select("_item", F.col("_t").cast("binary").alias("_t")).toLocalIterator():
         for window in item_windows(words_of(bytes(r["_t"]) if r["_t"] is not None else None), width):
             windows[window].add(r["_item"])
-    return broadcast_scan(docs, dict(windows), text)
+    return broadcast_scan(docs, dict(windows), text, keep_text)
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of `docs` without any benchmark window; the columns of `docs`."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    copied = docs.withColumn("_scanned", F.col(f"`{text}`"))
-    return contamination(copied, bench, "_scanned", **options).where("_n_hit = 0").select(*columns)
+    scanned = contamination(packed(docs, F.col(f"`{text}`").alias("_text")), bench, "_text", keep_text=False, **options)
+    return scanned.where("_n_hit = 0").select("_all.*")
 
 
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: every document with its words, the words hit, and the items found."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scanned = contamination(docs, table(spark, sf_dir, "benchmark"))
+    scanned = contamination(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     items = F.sha2(F.array_join("_items", ","), 256)
     return scanned.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"))
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, from_text, table
 
 SLICE_ROWS = 1_000_000
 FLUSH_ROWS = 1 << 20
@@ -93,13 +93,20 @@ class CountingQuotientFilter:
 def digests(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, fp (64-bit fingerprint) and sha (SHA-256 of the normalised text's bytes)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [(x or b"").lower() for x in b["_t"]]
-            yield pd.DataFrame({"_k": b["_k"], "fp": np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64), "sha": [hashlib.sha256(x).digest() for x in texts]})
+    def run(texts: list[bytes | None]) -> Iterator[tuple[int, bytes]]:
+        for t in texts:
+            t = (t or b"").lower()
+            yield signed(xxhash.xxh3_64_intdigest(t)), hashlib.sha256(t).digest()
+
+    return from_text(_needed(df, key, text), "_t", "fp long, sha binary", run, keep_text=False)
+
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").cast("binary").alias("_t")).mapInPandas(run, f"_k {kind}, fp long, sha binary")
+def signed(fingerprint: int) -> int:
+    return fingerprint - (1 << 64) if fingerprint >> 63 else fingerprint
+
+
+def _needed(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_t"))
 
 
 def repeated_fingerprints(rows: DataFrame, n_rows: int) -> DataFrame:
@@ -165,16 +172,14 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = durable(digests(df, key, text))
     bits = spark.sparkContext.broadcast(bitmap_of(repeated_fingerprints(rows, rows.count())))
 
-    def suspects(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def suspects(texts: list[bytes | None]) -> Iterator[tuple[bytes | None]]:
         marks, size = bits.value, len(bits.value) * 8
-        for b in batches:
-            texts = [(x or b"").lower() for x in b["_t"]]
-            at = np.array([xxhash.xxh3_64_intdigest(x) for x in texts], np.uint64).view(np.int64) % size
-            hit = np.flatnonzero(marks[at >> 3] >> (at & 7).astype(np.uint8) & 1)
-            yield pd.DataFrame({"_k": b["_k"].iloc[hit], "t": [texts[i] for i in hit]})
+        for t in texts:
+            t = (t or b"").lower()
+            at = signed(xxhash.xxh3_64_intdigest(t)) % size
+            yield (t if marks[at >> 3] >> (at & 7) & 1 else None,)
 
-    kind = df.schema[key].dataType.simpleString()
-    again = df.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").cast("binary").alias("_t")).mapInPandas(suspects, f"_k {kind}, t binary")
+    again = from_text(_needed(df, key, text), "_t", "t binary", suspects, keep_text=False).where("t is not null")
     same = again.groupBy("t").agg(F.max("_k").alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.unhex(F.sha2("t", 256)).alias("sha"), "keep", "n")
     joined = rows.join(same, "sha", "left")
     keep = F.when(F.col("n").isNull(), F.col("_k")).otherwise(F.col("keep"))

@@ -13,11 +13,10 @@ from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import from_text, table
 from .decontamination import words_of
 from .license_rules import RULES, Rule
 
@@ -97,29 +96,23 @@ def confidence(found: list[Detection], n_base: int) -> float:
     return round(1 - doubt, 6)
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """`df` without its text, with _n_words, _base (array of first word and label) and _found (detections).
+def scan(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """`df` with _n_words, _base (array of first word and label) and _found (detections).
 
     Null and empty texts have no words and nothing found; repeated rows are scanned each.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b.pop("_t"):
-                words = words_of(t)
-                rows.append((len(words), [{"start": i, "label": x} for i, x in base_places(words)], [d._asdict() for d in detections(words)]))
-            yield b.assign(_n_words=[r[0] for r in rows], _base=[r[1] for r in rows], _found=[r[2] for r in rows])
+    def read(texts: list[bytes | None]) -> Iterator[tuple[int, list[dict], list[dict]]]:
+        for t in texts:
+            words = words_of(t)
+            yield len(words), [{"start": i, "label": x} for i, x in base_places(words)], [d._asdict() for d in detections(words)]
 
-    others = [f for f in df.schema.fields if f.name != text]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
-    given = df.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{text}`").cast("binary").alias("_t"))
-    return given.mapInPandas(run, f"{schema}_n_words long, _base array<struct<start:long,label:string>>, _found array<struct<label:string,priority:int,start:long,end:long>>")
+    return from_text(df, text, "_n_words long, _base array<struct<start:long,label:string>>, _found array<struct<label:string,priority:int,start:long,end:long>>", read, keep_text=keep_text)
 
 
 def licenses_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: every document with its base phrases, its labels and a score."""
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     names = lambda c: F.transform(c, lambda x: x["label"])
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     doubt = F.aggregate("_found", F.pow(F.lit(0.5), F.least(F.size("_base"), F.lit(50))), lambda a, d: a * (1 - d["priority"] / 100.0))

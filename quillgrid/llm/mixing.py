@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -52,15 +52,14 @@ def targets(sizes: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
 
 
 def systematic_copies(df: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", cap: int = 3, seed: str = "mix") -> DataFrame:
-    """`df` with _size, _source_size, _target and _copies.
+    """_all (the columns of `df`), _size, _source_size, _target and _copies of every row.
 
     A null source is a source of its own. Empty and null texts have size 0; where a whole source has
     none, its rate is 0. Equal rows are interchangeable: as many of them are taken, whichever they are.
-    Columns of `df` keep their names; those that start with an underscore are this operator's.
+    An empty table gives an empty result.
     """
-    own = [F.col(f"`{c}`") for c in df.columns]
     mark = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
-    rows = df.select(*own, word_count(F.col(f"`{text}`")).alias("_size"), F.coalesce(F.concat(F.lit("+"), F.col(f"`{source}`")), F.lit("-")).alias("_from"), mark.alias("_mark"))
+    rows = packed(df, F.col(f"`{key}`").alias("_key"), word_count(F.col(f"`{text}`")).alias("_size"), F.coalesce(F.concat(F.lit("+"), F.col(f"`{source}`")), F.lit("-")).alias("_from"), mark.alias("_mark"))
     digits = F.bin("_size")
     rows = rows.withColumn("_class", F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.rpad(F.substring(digits, 1, 4), 4, "0")))
     rows = rows.withColumn("_part", F.substring("_mark", 1, 2))
@@ -71,28 +70,27 @@ def systematic_copies(df: DataFrame, source: str = "source", key: str = "doc_id"
     aims = targets(named.drop("_from"), cap).select(F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-")).alias("_from"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     along = Window.partitionBy("_from").orderBy("_class", "_part")
     cells = cells.withColumn("_before", F.sum("_rows").over(along) - F.col("_rows")).drop("_rows", "_words").join(aims, "_from")
-    inside = Window.partitionBy(*cell).orderBy("_size", "_mark", F.col(f"`{key}`"))
+    inside = Window.partitionBy(*cell).orderBy("_size", "_mark", "_key")
     ranked = rows.withColumn("_rank", F.row_number().over(inside).cast("long")).join(cells, cell)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_from"))), 1, 8), 16, 10).cast("double") / 4294967296.0
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     upto = F.floor(rate * (F.col("_before") + F.col("_rank")).cast("double") + offset)
     until = F.floor(rate * (F.col("_before") + F.col("_rank") - 1).cast("double") + offset)
     copies = F.least(upto - until, F.lit(cap)).cast("long")
-    return ranked.select(*own, "_size", "_source_size", "_target", copies.alias("_copies"))
+    return ranked.select("_all", "_size", "_source_size", "_target", copies.alias("_copies"))
 
 
 def mix(df: DataFrame, **options) -> DataFrame:
     """`df` with each row as often as systematic_copies says; the same columns."""
-    own = [F.col(f"`{c}`") for c in df.columns]
     mixed = systematic_copies(df, **options).where(F.col("_copies") > 0)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*own)
+    return mixed.select("_all", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_all.*")
 
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document with its size, its source's size and target, and the words the mix takes of it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = systematic_copies(docs)
-    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return mixed.select("_all.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
 MIXING_SQL = r"""

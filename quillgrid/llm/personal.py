@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import from_text, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
@@ -321,32 +321,29 @@ def fit_on(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Field:
     return fit([(r["f"], r["c"], r["s"], r["y"]) for r in found.toLocalIterator()])
 
 
-def find(df: DataFrame, field: Field, text: str = "text") -> DataFrame:
-    """`df` without its text, with _base and _added: arrays of kind, start and end (code points, end exclusive).
+def find(df: DataFrame, field: Field, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """`df` with _base and _added: arrays of kind, start and end (code points, end exclusive).
 
     Null and empty texts have no spans; repeated rows are read each.
     """
     shared = df.sparkSession.sparkContext.broadcast(field)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(given: list[str | None]) -> Iterator[tuple[list[dict], list[dict]]]:
         as_rows = lambda spans: [{"kind": k, "start": s, "end": e} for k, s, e in spans]
-        for b in batches:
-            texts = [t or "" for t in b.pop("_t")]
-            base = [base_spans(t) if DIGIT.search(t) else [] for t in texts]
-            more: list[list[Span]] = [[] for _ in texts]
-            rough = [i for i, t in enumerate(texts) if DIGIT.search(t)]
-            for k in range(0, len(rough), 64):
-                some = rough[k : k + 64]
-                graphs = [graph_of(texts[i]) for i in some]
-                for i, g, p in zip(some, graphs, marginals(graphs, shared.value), strict=True):
-                    more[i] = added_spans(texts[i], g, p, base[i])
-            yield b.assign(_base=[as_rows(x) for x in base], _added=[as_rows(x) for x in more])
-
-    others = [f for f in df.schema.fields if f.name != text]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+        texts = [t or "" for t in given]
+        rough = [i for i, t in enumerate(texts) if DIGIT.search(t)]
+        base = {i: base_spans(texts[i]) for i in rough}
+        more: dict[int, list[Span]] = {}
+        for k in range(0, len(rough), 64):
+            some = rough[k : k + 64]
+            graphs = [graph_of(texts[i]) for i in some]
+            for i, g, p in zip(some, graphs, marginals(graphs, shared.value), strict=True):
+                more[i] = added_spans(texts[i], g, p, base[i])
+        for i in range(len(texts)):
+            yield as_rows(base.get(i, [])), as_rows(more.get(i, []))
+
     kind = "array<struct<kind:string,start:long,end:long>>"
-    given = df.select(*[F.col(f"`{f.name}`") for f in others], F.col(f"`{text}`").alias("_t"))
-    return given.mapInPandas(run, f"{schema}_base {kind}, _added {kind}")
+    return from_text(df, text, f"_base {kind}, _added {kind}", read, as_bytes=False, keep_text=keep_text)
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -362,7 +359,7 @@ def masked(text: str, spans: list[Span]) -> str:
 def personal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every document with its counts of base spans, their digest, and all spans."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find(docs, fit_on(docs))
+    found = find(docs, fit_on(docs), keep_text=False)
     rank = F.expr("map(" + ", ".join(f"'{k}', {i}" for i, k in enumerate(KINDS)) + ")")
     both = F.array_sort(F.transform(F.concat("_base", "_added"), lambda s: F.struct(F.element_at(rank, s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import from_text, packed, table
 from .decontamination import FOLD
 
 SAMPLE = 8_000
@@ -135,9 +135,9 @@ def grade(quality: str = "quality", toxic: str = "toxic") -> Column:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> OrdinalModel:
-    """The model of the sampled labelled rows of `docs`; labels has key, quality and toxic."""
+    """The model of the sampled labelled rows of `docs`; labels has key, quality and toxic. Of several ratings the worst counts."""
     graded = labels.select(F.col(f"`{key}`").alias("_key"), grade().alias("_grade")).where("_grade is not null and _key is not null")
-    chosen = graded.dropDuplicates(["_key"]).orderBy(F.xxhash64("_key"), "_key").limit(sample)
+    chosen = graded.groupBy("_key").agg(F.min("_grade").alias("_grade")).orderBy(F.xxhash64("_key"), "_key").limit(sample)
     rows = docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("binary").alias("_t"))
     found = rows.join(F.broadcast(chosen), "_key").orderBy(F.xxhash64("_key", "_t"), "_key").limit(sample)
 
@@ -150,36 +150,33 @@ def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return fit([(np.frombuffer(r["f"], np.uint64), r["g"]) for r in taken])
 
 
-def score(docs: DataFrame, model: OrdinalModel, text: str = "text", accept: float = ACCEPT) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, text: str = "text", accept: float = ACCEPT, keep_text: bool = True) -> DataFrame:
     """`docs` with _score, _tails (P(grade >= k) for each k >= 1), _expected (grade) and _accepted.
 
     A document is accepted if the best grade's tail probability is at least `accept`. Null texts are scored
-    as empty ones. Repeated rows get equal scores.
+    as empty ones. Repeated rows get equal scores. Columns with the new names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rate(texts: list[bytes | None]) -> Iterator[tuple[float, list[float], float, bool]]:
         weight = shared.value.lookup()
-        for b in batches:
-            scores = [math.fsum(weight[h] for h in features(x) if h in weight) for x in b.pop("_t")]
-            tails = [shared.value.tails(s) for s in scores]
-            yield b.assign(_score=scores, _tails=tails, _expected=[sum(t) for t in tails], _accepted=[t[-1] >= accept for t in tails])
+        for t in texts:
+            total = math.fsum(weight[h] for h in features(t) if h in weight)
+            tails = shared.value.tails(total)
+            yield total, tails, sum(tails), tails[-1] >= accept
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    given = docs.withColumn("_t", F.col(f"`{text}`").cast("binary"))
-    return given.mapInPandas(run, f"{schema}, _score double, _tails array<double>, _expected double, _accepted boolean")
+    return from_text(docs, text, "_score double, _tails array<double>, _expected double, _accepted boolean", rate, keep_text=keep_text)
 
 
 def accepted_documents(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that the model fitted on them accepts; the columns of `docs`."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return score(docs, fit_on(docs, labels, text=text), text).where("_accepted").select(*columns)
+    model = fit_on(docs, labels, text=text)
+    return score(packed(docs, F.col(f"`{text}`").alias("_text")), model, "_text", keep_text=False).where("_accepted").select("_all.*")
 
 
 def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: doc_id, score, p_poor_or_better, p_good, expected_grade and accepted of every document."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit_on(docs, labels)
-    given = docs.select("doc_id", F.col("text").alias("_text"))
-    rated = score(given.withColumnRenamed("_text", "text").select("doc_id", "text"), model)
+    rated = score(docs.select("doc_id", "text"), model, keep_text=False)
     return rated.select("doc_id", F.col("_score").alias("score"), F.col("_tails")[0].alias("p_poor_or_better"), F.col("_tails")[1].alias("p_good"), F.col("_expected").alias("expected_grade"), F.col("_accepted").alias("accepted"))

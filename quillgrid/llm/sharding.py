@@ -16,7 +16,7 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import byte_length, table
+from .common import byte_length, packed, table
 
 RING_CELLS = 1 << 16
 VIRTUAL_NODES = 128
@@ -88,10 +88,10 @@ def bounded_load_shards(df: DataFrame, key: str, shards: int, balance: float = 1
     key and spread are interchangeable, and they take neighbouring slots. Columns named shard or slot
     are replaced, other columns pass through; an empty table stays empty.
     """
-    columns = [c for c in df.columns if c not in ("shard", "slot")]
-    tie = F.xxhash64(F.col(f"`{spread}`")) if spread else F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+    kept = df.drop("shard", "slot")
+    tie = F.xxhash64(F.col(f"`{spread}`")) if spread else F.xxhash64(*[F.col(f"`{c}`") for c in kept.columns])
     at = F.xxhash64(F.col(f"`{key}`").cast("string"))
-    rows = df.select(*[F.col(f"`{c}`") for c in columns], at.alias("_at"), F.shiftrightunsigned(at, 48).cast("int").alias("_arc"), tie.alias("_tie"))
+    rows = packed(kept, F.col(f"`{key}`").alias("_key"), at.alias("_at"), F.shiftrightunsigned(at, 48).cast("int").alias("_arc"), tie.alias("_tie"))
     counts = {r["_arc"]: r["count"] for r in rows.groupBy("_arc").count().collect()}
     limit = max(10_000, 16 * sum(counts.values()) // RING_CELLS)
     hot = sorted((a for a, n in counts.items() if n > limit), key=lambda a: -counts[a])[:HOT_CELLS]
@@ -102,10 +102,10 @@ def bounded_load_shards(df: DataFrame, key: str, shards: int, balance: float = 1
         found = rows.where(F.col("_arc").isin(hot)).groupBy("_arc", part.alias("_part")).count().collect()
         parts |= {(r["_arc"], r["_part"]): r["count"] for r in found}
     pieces = df.sparkSession.createDataFrame(settle(parts, shards, balance, virtual_nodes), "_arc int, _part int, _first long, _after long, shard int, _slot long")
-    order = Window.partitionBy("_arc", "_part").orderBy("_at", F.col(f"`{key}`"), "_tie")
+    order = Window.partitionBy("_arc", "_part").orderBy("_at", "_key", "_tie")
     ranked = rows.withColumn("_part", part).withColumn("_rank", F.row_number().over(order).cast("long") - 1)
     placed = ranked.join(F.broadcast(pieces), ["_arc", "_part"]).where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_after")))
-    return placed.select(*[F.col(f"`{c}`") for c in columns], "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot"))
+    return placed.select("_all.*", "shard", (F.col("_slot") + F.col("_rank") - F.col("_first")).alias("slot"))
 
 
 def sharding_query(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, from_text, packed, table
 from .components import connected_components
 
 RADIUS = 3
@@ -50,14 +50,13 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """_key, _mark (a hash of the text) and fp (the 64 bits as a signed long) of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fps = [fingerprint(x, shingle) for x in b.pop("_text")]
-            yield b.assign(fp=np.array(fps, np.uint64).view(np.int64))
+    def run(texts: list[bytes | None]) -> Iterator[tuple[int]]:
+        for t in texts:
+            fp = fingerprint(t, shingle)
+            yield (fp - (1 << 64) if fp >> 63 else fp,)
 
-    kind = df.schema[key].dataType.simpleString()
-    needed = df.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_mark"), F.col(f"`{text}`").cast("binary").alias("_text"))
-    return needed.mapInPandas(run, f"_key {kind}, _mark long, fp long")
+    needed = df.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_mark"), F.col(f"`{text}`").alias("_text"))
+    return from_text(needed, "_text", "fp long", run, keep_text=False)
 
 
 class Tree:
@@ -219,13 +218,12 @@ def one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text", ra
     A null key counts as the largest. Of rows that repeat the smallest key, those with the least hash of
     the text are ties, and one of them stays.
     """
-    columns = [F.col(f"d.`{c}`") for c in df.columns]
     order = F.struct(F.col("_key").isNull().alias("_null"), "_key", "_mark")
     kept = near_duplicate_groups(df, key, text, radius).groupBy("class").agg(F.min(order).alias("k")).select("k._key", "k._mark").distinct()
-    rows = df.alias("d").withColumn("_at", F.xxhash64(F.col(f"d.`{text}`")))
-    both = rows.join(kept.alias("k"), F.col(f"d.`{key}`").eqNullSafe(F.col("k._key")) & (F.col("_at") == F.col("k._mark")))
-    first = Window.partitionBy("k._key", "k._mark").orderBy("_at")
-    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*columns)
+    rows = packed(df, F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_at"))
+    both = rows.join(kept, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_mark")))
+    first = Window.partitionBy("_key", "_mark").orderBy("_at")
+    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_all.*")
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
