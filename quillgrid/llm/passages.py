@@ -123,7 +123,9 @@ class Layout:
         for k in range(SHINGLE):
             s = mixed(s * _PRIME + h[k : n - SHINGLE + 1 + k])
         spans = np.diff(np.r_[self.starts, n])
-        outside = (np.repeat(self.ends, spans)[: len(s)] - np.arange(self.starts[0], n)[: len(s)]) < SHINGLE
+        upto = np.zeros(n, np.int64)
+        upto[self.starts[0] :] = np.repeat(self.ends, spans)
+        outside = upto[: len(s)] - np.arange(len(s)) < SHINGLE
         usable = self.ends - self.starts >= SHINGLE
         cuts = self.starts[self.starts < len(s)]
         mins = np.empty((BANDS * ROWS, len(self.starts)), np.uint64)
