@@ -4,7 +4,7 @@ A source with target words `target` and `source_size` words has the rate target
 expected copies of each of its documents. Documents of a source stand in a fixed order (by size class,
 then a hash of the id), expected copies are summed along it, one offset per source is added, and a
 document is emitted once for each whole number that the sum crosses at it. Because the order runs
-through the sizes, the words taken stay near the target.
+through the sizes, the words taken stay within about the source's largest document of the target.
 
 Ranks come from counts per cell (source, size class, hash part) and a window inside each cell, so a
 source or a size that holds a third of the rows is spread over at least 256 cells.
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import packed, table
+from .common import packed, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,20 +51,21 @@ def targets(sizes: DataFrame, cap: int = 3, cycle: int = 3) -> DataFrame:
     return ranked.select("source", "source_size", F.when(F.col("_full"), F.col("_cap")).otherwise(shared).alias("target"))
 
 
-def systematic_copies(df: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", cap: int = 3, seed: str = "mix") -> DataFrame:
+def systematic_copies(df: DataFrame, source: str = "source", key: str = "doc_id", text: str = "text", cap: int = 3, seed: str = "mix", size: str | None = None) -> DataFrame:
     """_all (the columns of `df`), _size, _source_size, _target and _copies of every row.
 
     A null source is a source of its own. Empty and null texts have size 0; where a whole source has
     none, its rate is 0. Equal rows are interchangeable: as many of them are taken, whichever they are.
-    An empty table gives an empty result.
+    An empty table gives an empty result. size names a column with the sizes, where they are known.
     """
     mark = F.md5(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")))
-    rows = packed(df, F.col(f"`{key}`").alias("_key"), word_count(F.col(f"`{text}`")).alias("_size"), F.coalesce(F.concat(F.lit("+"), F.col(f"`{source}`")), F.lit("-")).alias("_from"), mark.alias("_mark"))
+    rows = packed(df, F.col(f"`{key}`").alias("_key"), (F.col(f"`{size}`") if size else word_count(F.col(f"`{text}`"))).alias("_size"), F.coalesce(F.concat(F.lit("+"), F.col(f"`{source}`")), F.lit("-")).alias("_from"), mark.alias("_mark"))
     digits = F.bin("_size")
     rows = rows.withColumn("_class", F.concat(F.lpad(F.length(digits).cast("string"), 2, "0"), F.rpad(F.substring(digits, 1, 4), 4, "0")))
     rows = rows.withColumn("_part", F.substring("_mark", 1, 2))
     cell = ["_from", "_class", "_part"]
-    cells = rows.groupBy(*cell).agg(F.count("*").alias("_rows"), F.sum("_size").alias("_words"))
+    counted = rows if size else written(rows.select(*cell, "_size"))  # the words are counted once for all that is summed
+    cells = counted.groupBy(*cell).agg(F.count("*").alias("_rows"), F.sum("_size").alias("_words"))
     sizes = cells.groupBy("_from").agg(F.sum("_words").alias("source_size"))
     named = sizes.select("_from", F.when(F.col("_from") != "-", F.expr("substr(_from, 2)")).alias("source"), "source_size")
     aims = targets(named.drop("_from"), cap).select(F.coalesce(F.concat(F.lit("+"), F.col("source")), F.lit("-")).alias("_from"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
@@ -88,8 +89,8 @@ def mix(df: DataFrame, **options) -> DataFrame:
 
 def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document with its size, its source's size and target, and the words the mix takes of it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = systematic_copies(docs)
+    docs = written(table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    mixed = systematic_copies(docs, size="size")
     return mixed.select("_all.doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 

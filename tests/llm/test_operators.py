@@ -86,13 +86,16 @@ def test_targets_stop_at_the_cap(spark):
 
 
 def test_taken_words_are_near_targets(spark):
+    """A source ends within its largest document of its target: with whole documents nothing less is sure."""
     rows = mixing.mixing_query(spark, "/root/testdata/sf0.1").collect()
-    taken, target = collections.Counter(), {}
+    taken, target, largest = collections.Counter(), {}, collections.Counter()
     for r in rows:
         assert r.taken <= 3 * r.size
         taken[r.source_size] += r.taken
         target[r.source_size] = r.target
-    assert all(abs(taken[s] - target[s]) < 0.06 * target[s] for s in target)
+        largest[r.source_size] = max(largest[r.source_size], r.size)
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in target)
+    assert abs(sum(taken.values()) - sum(target.values())) < 0.02 * sum(target.values())
 
 
 # exact deduplication
