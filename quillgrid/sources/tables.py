@@ -38,13 +38,15 @@ def infer_columns(schema: T.StructType) -> tuple[str, str | None, str | None]:
 def read_table(df: DataFrame, text_col: str | None = None, id_col: str | None = None) -> DataFrame:
     """doc, text, metadata; rows with null text are left out.
 
-    Ids that are null, or neither strings nor whole numbers, become doc_{n} with n unique over the table.
+    Ids that are null, or neither strings nor whole numbers, become doc_{n} with n unique over the table;
+    in a stream, which has no row numbers, n is a hash of the text.
     """
     text, key, meta = infer_columns(df.schema) if text_col is None else (text_col, id_col, None)
     if not isinstance(df.schema[text].dataType, T.StringType):
         raise ValueError(f"Column {text} is not a string column")
     key = id_col or key
-    made = F.concat(F.lit("doc_"), F.monotonically_increasing_id().cast("string"))
+    number = F.lower(F.hex(F.xxhash64(F.col(f"`{text}`")))) if df.isStreaming else F.monotonically_increasing_id().cast("string")
+    made = F.concat(F.lit("doc_"), number)
     usable = key is not None and isinstance(df.schema[key].dataType, (T.StringType, T.IntegralType))
     doc = F.coalesce(F.col(f"`{key}`").cast("string"), made) if usable else made
     note = F.col(f"`{meta}`") if meta and isinstance(df.schema[meta].dataType, T.StringType) else F.lit(None).cast("string")
