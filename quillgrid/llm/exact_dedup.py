@@ -58,9 +58,10 @@ class CountingQuotientFilter:
         lengths = np.diff(np.r_[-1, self.run_ends]) if len(self.run_ends) else np.zeros(0, int)
         return (np.repeat(self.occupied, lengths) << np.uint64(64 - self.quotient_bits)) | self.remainders
 
-    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
-        """Counts of both; the larger filter's quotient width is kept."""
-        return self.build(np.r_[self.fingerprints(), other.fingerprints()], np.r_[self.counts, other.counts], max(self.quotient_bits, other.quotient_bits))
+    def merge(self, *others: CountingQuotientFilter) -> CountingQuotientFilter:
+        """Counts of all, their runs merged by sorted remainder in one go; the widest filter's quotients are kept."""
+        every = (self, *others)
+        return self.build(np.concatenate([f.fingerprints() for f in every]), np.concatenate([f.counts for f in every]), max(f.quotient_bits for f in every))
 
     def count(self, fingerprint: int) -> int:
         shift = 64 - self.quotient_bits
@@ -135,8 +136,7 @@ def repeated_fingerprints(rows: DataFrame, n_rows: int) -> DataFrame:
     def merge(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = CountingQuotientFilter.build(np.zeros(0, np.uint64))
         for b in batches:
-            for data in b["filter"]:
-                whole = whole.merge(CountingQuotientFilter.load(data))
+            whole = whole.merge(*map(CountingQuotientFilter.load, b["filter"]))
         more = whole.counts > 1
         yield pd.DataFrame({"fp": whole.fingerprints()[more].view(np.int64), "n": whole.counts[more]})
 
