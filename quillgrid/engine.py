@@ -108,15 +108,8 @@ class Collection:
 
     def documents_for_term(self, term: str) -> DataFrame:
         """doc: decoded from the compressed lists."""
-        from .functions.codecs import decode_vb
-
-        @F.pandas_udf("array<long>")
-        def deltas(column):
-            return column.map(decode_vb)
-
-        lists = self.compressed.where(F.col("term") == term).select("block", F.posexplode(deltas("data")).alias("n", "delta"))
-        running = F.sum("delta").over(plans_window())
-        return lists.select(running.alias("id")).join(self.doc_ids, "id").select("doc")
+        coded = self.compressed.where(F.col("term") == term)
+        return indexes.decompressed_postings(coded).join(self.doc_ids, "id").select("doc")
 
     def save(self, path: str, names: tuple[str, ...] | None = None) -> None:
         """Write indexes under `path`; all by default. Dependent indexes are read back from the files already written."""
@@ -180,10 +173,3 @@ class Collection:
         for part in found[1:]:
             out = out.unionByName(part)
         return out
-
-
-def plans_window():
-    """All rows of one term's list in id order: a single list, as long as the term has documents."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("block", "n")

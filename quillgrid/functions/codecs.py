@@ -57,6 +57,16 @@ def vb_hex(delta: Column) -> Column:
     return F.concat(*low, two(top.otherwise(F.shiftright(delta, 28)) + 128))
 
 
+def decoded_numbers(data: Column) -> Column:
+    """Binary column of coded numbers -> array of them, in Arrow batches."""
+
+    @F.pandas_udf("array<long>")
+    def decode(column: pd.Series) -> pd.Series:
+        return column.map(lambda b: None if b is None else decode_vb(b))
+
+    return decode(data)
+
+
 def decoded_deltas(data: Column) -> Column:
     """Binary column of coded differences -> array of ids, in Arrow batches."""
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.codecs import vb_hex, vb_size
+from ..functions.codecs import decoded_numbers, vb_hex, vb_size
 from ..functions.tokenizers import Tokenizer, resolve
 
 MATRIX_BLOCK = 32
@@ -13,6 +15,12 @@ POSTING_BLOCK = 1 << 16
 RANK_PREFIX = 3
 
 
+def beside(*rows: DataFrame) -> DataFrame:
+    """One-row tables with different columns as one row."""
+    together = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    return together.groupBy().agg(*[F.first(c, ignorenulls=True).alias(c) for c in together.columns])
+
+
 def word_arrays(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> DataFrame:
     """doc, words. Documents that already have `words` keep them."""
     if "words" in docs.columns:
@@ -37,7 +45,7 @@ def collection_stats(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> D
     both = docs.select(size.alias("bytes"), (F.col("words") if "words" in docs.columns else resolve(tokenizer)(F.col("text"))).alias("words"))
     whole = both.agg(F.count("*").alias("total_documents"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("collection_bytes"), F.coalesce(F.sum(F.size("words").cast("long")), F.lit(0)).alias("total_words"))
     terms = both.select(F.explode("words").alias("term")).distinct().agg(F.count("*").alias("total_terms"))
-    return whole.crossJoin(F.broadcast(terms))  # one row each
+    return beside(whole, terms)
 
 
 def top_terms(terms: DataFrame, k: int = 1000) -> DataFrame:
@@ -143,6 +151,16 @@ def compressed_postings(deltas: DataFrame) -> DataFrame:
     return deltas.groupBy("term", "block").agg(F.count("*").alias("n_postings"), coded.alias("data"))
 
 
+def decompressed_postings(compressed: DataFrame) -> DataFrame:
+    """term, id: the lists back from their coded blocks. A block starts from the sum of the differences before it."""
+    blocks = compressed.select("term", "block", decoded_numbers(F.col("data")).alias("d"))
+    blocks = blocks.withColumn("total", F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x))
+    earlier = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("term", "block", "d", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
+    upto = Window.partitionBy("term", "block").orderBy("n")
+    return blocks.select("term", "block", "before", F.posexplode("d").alias("n", "delta")).select("term", (F.col("before") + F.sum("delta").over(upto)).alias("id"))
+
+
 def block_dictionary(postings: DataFrame) -> DataFrame:
     """The large-collection build's dictionary: term, frequency (= number of documents), documents sorted."""
     return postings.groupBy("term").agg(F.count("*").alias("frequency"), F.sort_array(F.collect_list("doc")).alias("documents"))

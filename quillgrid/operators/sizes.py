@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .indexes import beside
+
 
 @dataclass(frozen=True)
 class Costs:
@@ -45,8 +47,7 @@ def matrix_bytes(dictionary: DataFrame, universe: DataFrame) -> DataFrame:
     row = F.ceil(F.col("n") / 64) * 8
     terms = dictionary.agg(F.coalesce(F.sum(F.octet_length("term")), F.lit(0)).alias("names"), F.count("*").alias("t"))
     docs = universe.agg(F.coalesce(F.sum(F.octet_length("doc")), F.lit(0)).alias("docs"), F.count("*").alias("n"))
-    both = terms.crossJoin(F.broadcast(docs))  # one row each
-    return both.select(F.lit("matrix").alias("structure"), (F.col("names") + F.col("docs") + F.col("t") * row).cast("long").alias("bytes"))
+    return beside(terms, docs).select(F.lit("matrix").alias("structure"), (F.col("names") + F.col("docs") + F.col("t") * row).cast("long").alias("bytes"))
 
 
 def inverted_bytes(postings: DataFrame, universe: DataFrame, costs: Costs = Costs()) -> DataFrame:
@@ -99,4 +100,4 @@ def packing_stats(packed: DataFrame) -> DataFrame:
 
 def ratio(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     """One row: name and bytes of a over bytes of b."""
-    return a.select(F.col("bytes").alias("a")).crossJoin(F.broadcast(b.select(F.col("bytes").alias("b")))).select(F.lit(name).alias("name"), (F.col("a") / F.col("b")).alias("ratio"))
+    return beside(a.select(F.col("bytes").alias("a")), b.select(F.col("bytes").alias("b"))).select(F.lit(name).alias("name"), (F.col("a") / F.col("b")).alias("ratio"))

@@ -229,24 +229,9 @@ def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """term, doc: postings after coding and decoding; a block's running sum starts from the differences before it."""
-    from ..functions.codecs import decode_vb
-
+    """term, doc: postings after coding and decoding."""
     c = collection(spark, sf_dir)
-
-    @F.pandas_udf("array<long>")
-    def numbers(column):
-        return column.map(decode_vb)
-
-    blocks = c.compressed.select("term", "block", numbers("data").alias("d"))
-    total = F.aggregate("d", F.lit(0).cast("long"), lambda a, x: a + x)
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum("total").over(Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifted = blocks.withColumn("total", total).withColumn("before", before)
-    step = Window.partitionBy("term", "block").orderBy("n")
-    ids = shifted.select("term", "block", "before", F.posexplode("d").alias("n", "delta")).select("term", (F.col("before") + F.sum("delta").over(step)).alias("id"))
-    return ids.join(c.doc_ids, "id").select("term", "doc")
+    return indexes.decompressed_postings(c.compressed).join(c.doc_ids, "id").select("term", "doc")
 
 
 VB_SIZE = "CASE WHEN delta < 128 THEN 1 WHEN delta < 16384 THEN 2 WHEN delta < 2097152 THEN 3 WHEN delta < 268435456 THEN 4 ELSE 5 END"

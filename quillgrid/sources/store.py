@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.indexes import terms_by_frequency, top_terms
+from ..operators.indexes import beside, terms_by_frequency, top_terms
 
 FORMATS = ("binary", "json", "text")
 #: The column by which an index is looked up; rows are ordered by it, so that row groups can be skipped.
@@ -30,15 +30,16 @@ def load_index(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{name}")
 
 
+def counts() -> list[Column]:
+    return [F.format_string(f"{name.split('_')[1]}: %d", name) for name in ("total_terms", "total_words", "total_documents")] + [F.format_string("bytes of text: %d", "collection_bytes")]
+
+
 def header(stats: DataFrame) -> DataFrame:
     lines = F.array(
-        F.lit("DICTIONARY STATISTICS"),
-        F.format_string("Total terms: %d", "total_terms"),
-        F.format_string("Total words: %d", "total_words"),
-        F.format_string("Total documents: %d", "total_documents"),
-        F.format_string("Collection size: %d bytes", "collection_bytes"),
+        F.lit("Dictionary"),
+        *counts(),
         F.lit(""),
-        F.lit("TERMS (sorted by frequency):"),
+        F.lit("Most frequent first:"),
     )
     return stats.select(F.explode(lines).alias("value"))
 
@@ -50,21 +51,15 @@ def term_lines(dictionary: DataFrame) -> DataFrame:
 
 def packed_report(dictionary: DataFrame, stats: DataFrame, packing: DataFrame, k: int = 1000) -> DataFrame:
     """Lines of the compressed dictionary's report: statistics, packing figures and the k most frequent terms."""
-    one = stats.crossJoin(F.broadcast(packing))  # one row each
+    one = beside(stats, packing)
     lines = F.array(
-        F.lit("COMPRESSED DICTIONARY STATISTICS"),
-        F.format_string("Total terms: %d", "total_terms"),
-        F.format_string("Total words: %d", "total_words"),
-        F.format_string("Total documents: %d", "total_documents"),
-        F.format_string("Collection size: %d bytes", "collection_bytes"),
+        F.lit("Front-packed dictionary"),
+        *counts(),
         F.lit(""),
-        F.lit("COMPRESSION STATISTICS:"),
-        F.format_string("Original terms size: %d bytes", "original_bytes"),
-        F.format_string("Compressed terms size: %d bytes", "packed_bytes"),
-        F.format_string("Compression ratio: %.2f%%", F.col("ratio") * 100),
-        F.format_string("Space savings: %d bytes", F.col("original_bytes") - F.col("packed_bytes")),
+        F.format_string("plain: %d bytes; packed: %d bytes", "original_bytes", "packed_bytes"),
+        F.format_string("packed to %.2f%%, %d bytes less", F.col("ratio") * 100, F.col("original_bytes") - F.col("packed_bytes")),
         F.lit(""),
-        F.lit("TERMS (sorted by frequency):"),
+        F.lit("Most frequent first:"),
     )
     head = one.select(F.posexplode(lines).alias("n", "value")).select(F.lit(0).alias("part"), F.col("n").cast("long").alias("a"), F.lit("").alias("b"), "value")
     body = top_terms(dictionary, k).select(F.lit(1).alias("part"), (-F.col("tf")).alias("a"), F.col("term").alias("b"), F.format_string("%s: %d", "term", "tf").alias("value"))

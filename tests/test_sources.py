@@ -92,7 +92,7 @@ def test_dictionary_sinks(spark, tmp_path):
     from quillgrid.operators import sizes
 
     packed = [r.value for r in store.packed_report(c.dictionary, c.stats, sizes.packing_stats(c.packed), k=2).collect()]
-    assert packed[:2] == ["COMPRESSED DICTIONARY STATISTICS", "Total terms: 3"] and packed[-2:] == ["cat: 2", "red: 2"]
+    assert packed[:2] == ["Front-packed dictionary", "terms: 3"] and packed[-2:] == ["cat: 2", "red: 2"]
 
 
 def test_document_numbers_by_rank(spark):
