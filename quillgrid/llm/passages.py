@@ -208,7 +208,7 @@ def laid_out(texts: Iterator[bytes | None], fold: bool = True) -> Iterator[Layou
 
 def bloom(values: np.ndarray, size: int) -> list[np.ndarray]:
     """Three places in a bitmap of `size` bits for each value."""
-    return [(mixed(values + np.uint64(k) * _PRIME) >> np.uint64(1)).astype(np.int64) % size for k in range(3)]
+    return [(mixed(values + np.uint64(k * int(_PRIME) % (1 << 64))) >> np.uint64(1)).astype(np.int64) % size for k in range(3)]
 
 
 def colliding_values(docs: DataFrame, total_bytes: int) -> DataFrame:
