@@ -1,6 +1,6 @@
 """Quality classifier: cumulative-link (proportional odds) regression on graded ratings.
 
-A document's features are 64-bit hashes of its distinct words and their beginnings, of the shapes of its tokens (what is left
+A document's features are 32-bit hashes of its distinct words and their beginnings, of the shapes of its tokens (what is left
 without lower-case letters) and of a few bucketed ratios. One weight per hash is shared by all grades;
 ordered thresholds cut the score into grades: P(grade > k) = sigmoid(score - threshold_k). The expected
 grade ranks documents and a tail probability selects them.
@@ -31,6 +31,7 @@ MIN_DOCS = 5
 ROUNDS = 200
 PENALTY = 2e-4
 GRADES = 3
+BLOCK = 1 << 19
 ACCEPT = 0.5
 #: Lengths in bytes of the word beginnings that are features too: inflected and compound forms share them.
 STEMS = (5, 6, 7, 8)
@@ -45,7 +46,7 @@ def features(text: bytes | None) -> set[int]:
     text = text or b""
     words = text.translate(FOLD).split()
     distinct = set(words)
-    digest = xxhash.xxh64_intdigest
+    digest = xxhash.xxh32_intdigest
     found = {digest(w, 1) for w in distinct}
     for k in STEMS:
         found.update(digest(w, 5) for w in {w[:k] for w in distinct if len(w) > k})
@@ -77,6 +78,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -50, 50)))
 
 
+def _frequent(hashes: np.ndarray, least: int) -> np.ndarray:
+    """Hashes that occur at least `least` times, ascending; `hashes` is sorted in place."""
+    hashes.sort()
+    if least > 1:
+        hashes = hashes[: len(hashes) - least + 1][hashes[: len(hashes) - least + 1] == hashes[least - 1 :]]
+    return np.unique(hashes)
+
+
+def _columns(hashes: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """Places in `hashes` of those of `given` that are among them."""
+    at = np.searchsorted(hashes, given)
+    inside = at < len(hashes)
+    at, given = at[inside], given[inside]
+    return at[hashes[at] == given].astype(np.int32)
+
+
+def _sums(into: np.ndarray, values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[of] by `into`, some at a time, so that no temporary is as long as the sample."""
+    total = np.zeros(n)
+    for k in range(0, len(into), BLOCK):
+        total += np.bincount(into[k : k + BLOCK], values[of[k : k + BLOCK]], n)
+    return total
+
+
 def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES, min_docs: int = MIN_DOCS, rounds: int = ROUNDS, penalty: float = PENALTY) -> OrdinalModel:
     """Maximum likelihood with an L1 penalty on the weights, by accelerated proximal steps.
 
@@ -84,14 +109,12 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES, min_docs: int
     has tail probabilities of almost 1.
     """
     if not rows:
-        return OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.full(grades - 1, -20.0) + np.arange(grades - 1) * 1e-3)
+        return OrdinalModel(np.zeros(0, np.uint32), np.zeros(0), np.full(grades - 1, -20.0) + np.arange(grades - 1) * 1e-3)
     y = np.array([g for _, g in rows])
-    every, docs = np.unique(np.concatenate([f for f, _ in rows]), return_counts=True)
-    hashes = every[docs >= min(min_docs, len(rows))]
-    given, row = np.concatenate([f for f, _ in rows]), np.repeat(np.arange(len(rows)), [len(f) for f, _ in rows])
-    column = np.searchsorted(hashes, given).clip(max=max(0, len(hashes) - 1))
-    known = hashes[column] == given if len(hashes) else np.zeros(len(given), bool)
-    row, column = row[known], column[known]
+    hashes = _frequent(np.concatenate([f for f, _ in rows]), min(min_docs, len(rows)))
+    columns = [_columns(hashes, f) for f, _ in rows]
+    row, column = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in columns]), np.concatenate(columns)
+    del columns
     shares = np.array([(np.sum(y > k) + 0.5) / (len(y) + 1) for k in range(grades - 1)])
     start = -np.log(shares / (1 - shares))
     raw = np.r_[start[0], np.log(np.maximum(np.diff(start), 1e-2))]
@@ -99,7 +122,7 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES, min_docs: int
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(raw), np.zeros_like(raw)]
     for step in range(1, rounds + 1):
         theta = np.cumsum(np.r_[raw[0], np.exp(raw[1:])])
-        score = np.bincount(row, w[column], len(rows))
+        score = _sums(row, w, column, len(rows))
         upper = np.r_[theta, np.inf][y] - score
         lower = np.r_[-np.inf, theta][y] - score
         cu, cl = _sigmoid(upper), _sigmoid(lower)
@@ -109,11 +132,11 @@ def fit(rows: list[tuple[np.ndarray, int]], grades: int = GRADES, min_docs: int
         by_score = (du - dl) / p / len(y)
         by_theta = np.array([(-(du / p)[y == k].sum() + (dl / p)[y == k + 1].sum()) / len(y) for k in range(grades - 1)])
         by_raw = np.r_[by_theta.sum(), [by_theta[j:].sum() * np.exp(raw[j]) for j in range(1, grades - 1)]]
-        by_w = np.bincount(column, by_score[row], len(w))
+        by_w = _sums(column, by_score, row, len(w))
         if step in (30, 80):  # features that are at zero and pull too weakly to leave it
             live = (w != 0) | (np.abs(by_w) > penalty / 2)
             stays = live[column]
-            row, column = row[stays], (np.cumsum(live) - 1)[column[stays]]
+            row, column = row[stays], (np.cumsum(live) - 1).astype(np.int32)[column[stays]]
             w, by_w, hashes = w[live], by_w[live], hashes[live]
             moments[0], moments[1] = moments[0][live], moments[1][live]
         rate = 0.15 / math.sqrt(1 + step / 50)
@@ -143,11 +166,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            packed = [np.sort(np.fromiter(features(x), np.uint64)).tobytes() for x in b["_t"]]
+            packed = [np.sort(np.fromiter(features(x), np.uint32)).tobytes() for x in b["_t"]]
             yield pd.DataFrame({"f": packed, "g": b["_grade"]})
 
     taken = found.mapInPandas(run, "f binary, g int").toLocalIterator()
-    return fit([(np.frombuffer(r["f"], np.uint64), r["g"]) for r in taken])
+    return fit([(np.frombuffer(r["f"], np.uint32), r["g"]) for r in taken])
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", accept: float = ACCEPT, keep_text: bool = True) -> DataFrame:

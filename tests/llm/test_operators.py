@@ -200,7 +200,7 @@ def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     rows = duckdb.sql(f"select d.doc_id, d.text, l.quality, l.toxic from '{sf}/documents.parquet' d join '{sf}/labels.parquet' l using (doc_id)").fetchall()
     rows.sort(key=lambda r: xxhash.xxh64_intdigest(str(r[0])))
-    graded = [(np.sort(np.fromiter(quality.features(t.encode()), np.uint64)), 0 if x else 1 if q == 0 else 2) for _, t, q, x in rows]
+    graded = [(np.sort(np.fromiter(quality.features(t.encode()), np.uint32)), 0 if x else 1 if q == 0 else 2) for _, t, q, x in rows]
     model = quality.fit(graded[:2600])
     assert (np.diff(model.thresholds) > 0).all()
     weight, right = model.lookup(), collections.Counter()
