@@ -209,6 +209,7 @@ def near_duplicate_groups(df: DataFrame, key: str = "doc_id", text: str = "text"
     least = roots.join(distinct, "fp").groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(least, "root").select("fp", "root", "component")
     of = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("class"), F.coalesce("component", "least").alias("component_id"))
+    of = durable(of)  # both sides of the next join are then shuffled for it alone, so that a fingerprint with very many rows can be split
     return rows.join(of, "fp").select("_key", "_mark", "fp", "class", "component_id")
 
 
