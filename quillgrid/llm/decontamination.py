@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, durable, from_text, packed, table
 
 WINDOW = 10
-BOUND_BYTES = 64 << 20
+BOUND_BYTES = 16 << 20
 #: Bytes of words: digits, letters and all that isn't ASCII; A-Z are lowered, the rest separates.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
