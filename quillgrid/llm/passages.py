@@ -9,8 +9,13 @@ Paragraphs get MinHashes of their 5-word shingles in `BANDS` bands of `ROWS` row
 a pair collides in some band with probability 1 - (1 - 0.8**2)**6 = 0.998. Band values that occur once are
 counted out first, by merging sorted values of partitions, so that only paragraphs with a collision are
 moved. Equal paragraphs are combined, colliding ones are verified by exact Jaccard similarity, and the
-connected components of verified pairs are the classes. In a class that stands in several documents the
-first occurrence stays and the others are removals.
+connected components of verified pairs are the classes.
+
+Whole passages are found from anchors: hashes of 16 and of 44 words, the least of 9 and of 7 neighbouring
+ones. A run of 24 equal words holds an anchor of the first kind, one of 50 words an anchor of the second.
+Each anchor leads to its first occurrence; from there the two texts are compared along their alignment,
+word by word, and what is similar at 0.8 with `RUN` equal words or more is a passage, changed words inside
+it included. The first occurrence of a passage stays and the paragraphs inside the others are removals.
 """
 
 from __future__ import annotations
@@ -39,9 +44,12 @@ FLUSH = 1 << 22
 GROUP = 1024
 GATHER = 1 << 17
 
-#: Words that a run of equal words, or of paragraphs shared with one document, needs; and the step and reach of contexts.
+#: Equal words that an aligned passage, or the paragraphs shared with one document, need.
 RUN = 44
-STEP, CONTEXT = 4, 48
+#: Words of an anchor, and the number of neighbouring ones of which it is the least.
+ANCHORS = ((16, 9), (RUN, 7))
+#: Places by which an alignment may shift beside those of its anchors.
+SHIFT = 2
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _RNG = np.random.default_rng(20)
@@ -146,20 +154,25 @@ class Layout:
         starts, ends = self.starts[which], self.ends[which]
         return mixed((sums[ends] - sums[starts]) * _inverses(len(self.hashes) + 1)[starts] + (ends - starts).astype(np.uint64))
 
-    def contexts(self, which: np.ndarray) -> np.ndarray:
-        """Per chosen paragraph, 16-bit hashes of the 4, 8, .. 48 words before it and after it; 0 where the text is shorter."""
-        n, steps = len(self.hashes), range(STEP, CONTEXT + 1, STEP)
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of the texts' anchors, in order of place for each kind; of a row of equal ones the first and the last."""
+        n, at, found = len(self.hashes), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         sums = np.r_[np.uint64(0), np.cumsum(mixed(self.hashes) * _powers(n))]
-        back = _inverses(n + 1)
-        starts, ends, first, last = self.starts[which], self.ends[which], self.first[which], self.last[which]
-        out = np.zeros((len(which), 2 * len(steps)), np.uint16)
-        for c, k in enumerate(steps):
-            for column, low in ((c, starts - k), (len(steps) + c, ends)):
-                fits = (low >= first) & (low + k <= last)
-                # a sum over powers of the place, brought to place 0 by the inverse power
-                value = (sums[low[fits] + k] - sums[low[fits]]) * back[low[fits]]
-                out[fits, column] = (mixed(value) >> np.uint64(48)).astype(np.uint16) | 1
-        return out
+        upto = np.repeat(self.begin[:-1] + self.sizes, np.diff(self.begin))
+        for words, window in ANCHORS:
+            if n < words + window:
+                continue
+            m = n - words + 1
+            # a sum over powers of the place, brought to place 0 by the inverse power
+            values = mixed((sums[words:] - sums[:m]) * _inverses(n)[:m] + np.uint64(words))
+            values[np.arange(m) + words > upto[:m]] = _MAX
+            least = np.unique(np.arange(m - window + 1) + np.lib.stride_tricks.sliding_window_view(values, window).argmin(axis=1))
+            least = least[values[least] != _MAX]
+            v = values[least]
+            least = least[np.r_[True, v[1:] != v[:-1]] | np.r_[v[1:] != v[:-1], True]] if len(least) else least
+            at.append(least)
+            found.append(values[least])
+        return np.concatenate(at), np.concatenate(found)
 
 
 _GROWN: dict[int, np.ndarray] = {}
@@ -212,7 +225,7 @@ def bloom(values: np.ndarray, size: int) -> list[np.ndarray]:
 
 
 def colliding_values(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """fp: bitmap places of band values that occur at least twice, by merging sorted values of partitions slice by slice."""
+    """fp: bitmap places of band values and anchors that occur at least twice, by merging sorted values of partitions slice by slice."""
     bits = max(0, min(16, (total_bytes // SLICE_BYTES).bit_length()))
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,8 +241,8 @@ def colliding_values(docs: DataFrame, total_bytes: int) -> DataFrame:
         for b in batches:
             for layout in laid_out(b["_t"]):
                 values = layout.bands().ravel()
-                held.append(values[values != _MAX])
-                size += len(held[-1])
+                held += [values[values != _MAX], layout.anchors()[1]]
+                size += len(held[-1]) + len(held[-2])
                 if size >= FLUSH:
                     yield packed(held)
                     held, size = [], 0
@@ -296,36 +309,59 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int
 
 
 def candidate_paragraphs(docs: DataFrame, kind: str, bits) -> DataFrame:
-    """Two kinds of rows: a text's (row, key, n_words; h null), and its paragraphs with a collision (row, key, place)."""
-    fields = ["row", "key", "n_words", "start", "end", "n", "h", "text", "around"]
-    schema = f"row long, key {kind}, n_words long, start int, end int, n int, h long, text binary, around binary"
+    """Two kinds of rows: a text's (row, key, n_words; h null), and its paragraphs with a collision (row, key, place).
+
+    A text with anchors that occur again has them (values, at: words before them), its words as 16-bit
+    hashes (words) and its paragraphs (cuts: first byte, byte after the last, words before, words).
+    """
+    fields = ["row", "key", "n_words", "start", "end", "n", "h", "text", "values", "at", "words", "cuts"]
+    schema = f"row long, key {kind}, n_words long, start int, end int, n int, h long, text binary, values array<long>, at array<int>, words binary, cuts binary"
+
+    def again(values: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        hit = values != _MAX
+        for at in bloom(values, len(marks) * 8):
+            hit &= (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+        return hit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, row = bits.value, TaskContext.get().partitionId() << 33
         for b in batches:
             keys, done = b.column(0), 0
             for layout in laid_out(x.as_buffer().to_pybytes() if x.is_valid else None for x in b.column(1)):
-                values = layout.bands()
-                hit = values != _MAX
-                for at in bloom(values, len(marks) * 8):
-                    hit &= (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-                hit = np.flatnonzero(hit.any(axis=1))
-                low, high = layout.spans(hit)
-                owner, n = layout.owner[hit], len(layout.sizes)
-                texts = [b" ".join(layout.buffer[s:e].split()) for s, e in zip(low.tolist(), high.tolist(), strict=True)]
-                around = layout.contexts(hit)
-                none = lambda k: pa.nulls(n, k)  # noqa: E731, B023
+                hit = np.flatnonzero(again(layout.bands(), marks).any(axis=1))
+                low, high = layout.spans(np.arange(len(layout.starts)))
+                low, high, size = low - layout.at[layout.owner], high - layout.at[layout.owner], layout.ends - layout.starts
+                owner, n, base = layout.owner[hit], len(layout.sizes), layout.at[layout.owner[hit]]
+                texts = [b" ".join(layout.buffer[s:e].split()) for s, e in zip((base + low[hit]).tolist(), (base + high[hit]).tolist(), strict=True)]
+                place, value = layout.anchors()
+                seen = again(value, marks)
+                place, value = place[seen], value[seen].view(np.int64)
+                text_of = np.searchsorted(layout.begin, place, "right") - 1
+                order = np.argsort(text_of, kind="stable")
+                edges = np.searchsorted(text_of[order], np.arange(n + 1))
+                place, value = (place - layout.begin[text_of])[order].astype(np.int32), value[order]
+                words, cuts = [None] * n, [None] * n
+                table = np.stack([low, high, layout.starts - layout.first, size], axis=1).astype(np.int32)
+                rows_of = np.searchsorted(layout.owner, np.arange(n + 1))
+                for i in np.flatnonzero(np.diff(edges)).tolist():
+                    words[i] = (layout.hashes[layout.begin[i] : layout.begin[i] + layout.sizes[i]] >> np.uint64(48)).astype(np.uint16).tobytes()
+                    cuts[i] = table[rows_of[i] : rows_of[i + 1]].tobytes()
+                none = lambda k, m: pa.nulls(m, k)
+                lists = lambda x: pa.concat_arrays([pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x)), none(pa.list_(pa.array(x).type), len(hit))])  # noqa: E731, B023
                 here = keys.slice(done, n)
                 columns = [
                     pa.array(np.r_[np.arange(n), owner] + row),
                     pa.concat_arrays([here, here.take(pa.array(owner))]),
-                    pa.concat_arrays([pa.array(layout.sizes.astype(np.int64)), pa.nulls(len(hit), pa.int64())]),
-                    pa.concat_arrays([none(pa.int32()), pa.array((low - layout.at[owner]).astype(np.int32))]),
-                    pa.concat_arrays([none(pa.int32()), pa.array((high - layout.at[owner]).astype(np.int32))]),
-                    pa.concat_arrays([none(pa.int32()), pa.array((layout.ends - layout.starts)[hit].astype(np.int32))]),
-                    pa.concat_arrays([none(pa.int64()), pa.array(layout.names(hit).view(np.int64))]),
-                    pa.concat_arrays([none(pa.binary()), pa.array(texts, pa.binary())]),
-                    pa.concat_arrays([none(pa.binary()), pa.array([a.tobytes() for a in around], pa.binary())]),
+                    pa.concat_arrays([pa.array(layout.sizes.astype(np.int64)), none(pa.int64(), len(hit))]),
+                    pa.concat_arrays([none(pa.int32(), n), pa.array(low[hit].astype(np.int32))]),
+                    pa.concat_arrays([none(pa.int32(), n), pa.array(high[hit].astype(np.int32))]),
+                    pa.concat_arrays([none(pa.int32(), n), pa.array(size[hit].astype(np.int32))]),
+                    pa.concat_arrays([none(pa.int64(), n), pa.array(layout.names(hit).view(np.int64))]),
+                    pa.concat_arrays([none(pa.binary(), n), pa.array(texts, pa.binary())]),
+                    lists(value),
+                    lists(place),
+                    pa.concat_arrays([pa.array(words, pa.binary()), none(pa.binary(), len(hit))]),
+                    pa.concat_arrays([pa.array(cuts, pa.binary()), none(pa.binary(), len(hit))]),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, fields)
                 done += n
@@ -334,24 +370,137 @@ def candidate_paragraphs(docs: DataFrame, kind: str, bits) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def equal_runs(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> np.ndarray:
+    """(runs, 3) of runs of SHINGLE equal words or more with a[i + shift] = b[i]: place in a, place in b, words."""
+    out = []
+    for d in shifts:
+        low = max(0, -d)
+        n = min(len(b), len(a) - d) - low
+        if n < SHINGLE:
+            continue
+        edges = np.flatnonzero(np.diff(np.r_[False, a[low + d : low + d + n] == b[low : low + n], False]))
+        first, size = edges[::2] + low, edges[1::2] - edges[::2]
+        long = size >= SHINGLE
+        out.append(np.stack([first[long] + d, first[long], size[long]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
+
+def aligned(a: np.ndarray, b: np.ndarray, shifts: list[int], similarity: float = SIMILARITY, run: int = RUN) -> list[tuple[int, int, int, int]]:
+    """Passages of two texts (word hashes) along the given shifts: first and end in a, first and end in b.
+
+    Runs of equal words follow each other in both texts; a stretch from one run to another is a passage if
+    its runs have `run` words and the shingles inside them are a Jaccard similarity of `similarity`.
+    """
+    runs = equal_runs(a, b, shifts)
+    if not (len(runs) == 1 and runs[0, 2] == len(a)):
+        runs = equal_runs(a, b, sorted({d + k for d in shifts for k in range(-SHIFT, SHIFT + 1)}))
+    chains: list[list[tuple[int, int, int]]] = []
+    for p, q, n in runs[np.lexsort((-runs[:, 2], runs[:, 0]))].tolist():
+        if chains:
+            before, other, size = chains[-1][-1]
+            over = before + size - p
+            if over >= n:
+                continue
+            step = max(over, other + size - q, 0) if q >= other else 0
+            if q >= other and n - step >= SHINGLE:
+                chains[-1].append((p + step, q + step, n - step))
+                continue
+        chains.append([(p, q, n)])
+    found = []
+    for chain in chains:
+        p, q, n = np.array(chain, np.int64).T
+        words, both, done = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n - SHINGLE + 1)], -1
+        for i in range(len(chain)):
+            shared = both[i + 1 :] - both[i]
+            either = (p + n)[i:] - p[i] + (q + n)[i:] - q[i] - 2 * (SHINGLE - 1) - shared
+            good = np.flatnonzero((shared >= similarity * either) & (words[i + 1 :] - words[i] >= run))
+            if len(good) and i + good[-1] > done:
+                done = int(i + good[-1])
+                found.append((int(p[i]), int(p[done] + n[done]), int(q[i]), int(q[done] + n[done])))
+    return found
+
+
+def aligned_passages(rows: DataFrame, kind: str, similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
+    """row, low, high (words), home, source and removed: passages that a row shares with the first occurrence of an anchor, in either's row."""
+    anchors = rows.where("words is not null").select("row", "key", F.explode(F.arrays_zip("values", "at")).alias("a")).select("row", "key", F.col("a.values").alias("value"), F.col("a.at").alias("at"))
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "row", "at")
+    first = anchors.groupBy("value").agg(F.min(order).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low != high").select("value", F.col("first.row").alias("home"), F.col("first.at").alias("place"))
+    pairs = anchors.select("value", "row", "at").join(first, "value").where("row != home").groupBy("row", "home").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
+    texts = rows.where("words is not null").select("row", "key", "words")
+    source = texts.select(F.col("row").alias("home"), F.col("key").alias("source"), F.col("words").alias("other"))
+    both = pairs.join(source, "home").join(texts.select("row", "words"), "row").select("row", "home", "source", "shifts", "words", "other")
+    schema = f"row long, low int, high int, home long, source {kind}, removed boolean"
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, home, shifts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
+            out, at = [], []
+            for i in range(len(row)):
+                a, o = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint16) for c in (4, 5))
+                for p, pe, q, qe in aligned(a, o, sorted(shifts[i]), similarity, run):
+                    out += [(row[i], p, pe, True), (home[i], q, qe, False)]
+                    at += [i, i]
+            r, low, high, gone = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), b.column(1).take(pa.array(at, pa.int64())), b.column(2).take(pa.array(at, pa.int64())), pa.array(gone, pa.bool_())], ["row", "low", "high", "home", "source", "removed"])
+
+    return both.mapInArrow(verify, schema)
+
+
+def covered_paragraphs(rows: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
+    """row, key, start, end, words, source and removed: the paragraphs that lie inside aligned passages (spans)."""
+    kept = spans.where("not removed").select("row", "low", "high", F.col("row").alias("home"), F.lit(None).cast(kind).alias("source"), "removed").distinct()
+    listed = spans.where("removed").unionByName(kept).groupBy("row").agg(F.collect_list(F.struct("low", "high", "home", "source", "removed")).alias("spans"))
+    given = rows.where("cuts is not null").select("row", "key", "cuts").join(listed, "row").select("row", "key", "cuts", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row, key, cuts, spans in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                cuts = np.frombuffer(cuts, np.int32).reshape(-1, 4)
+                begin, end, best = cuts[:, 2], cuts[:, 2] + cuts[:, 3], {}
+                # overlapping passages count together; of those that hold most of a paragraph the first row is its source
+                for gone in (False, True):
+                    mine = sorted(((s["low"], s["high"], s["source"], s["home"]) for s in spans if s["removed"] == gone), key=lambda s: s[:2])
+                    merged: list[list] = []
+                    for low, high, *of in mine:
+                        if merged and low <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], high)
+                            merged[-1][2].append((low, high, *of))
+                        else:
+                            merged.append([low, high, [(low, high, *of)]])
+                    for low, high, parts in merged:
+                        for i in range(np.searchsorted(begin, low), np.searchsorted(end, high, "right")):
+                            if gone:
+                                near = lambda s: (max(s[0] - begin[i], 0) + max(end[i] - s[1], 0), s[2] is None, *(s[2:] if s[2] is not None else s[3:]))  # noqa: E731, B023
+                                best[i] = (min(parts, key=near)[2], True)
+                            else:
+                                best[i] = (key, False)
+                out += [(row, key, *map(int, (cuts[i, 0], cuts[i, 1], cuts[i, 3])), source, gone) for i, (source, gone) in best.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64(), b.column(1).type, pa.int32(), pa.int32(), pa.int32(), b.column(1).type, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "key", "start", "end", "words", "source", "removed"])
+
+    return given.mapInArrow(run, f"row long, key {kind}, start int, end int, words int, source {kind}, removed boolean")
+
+
 def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
     """One row per row of `df`: _key, n_words, passages.
 
     passages lists the paragraphs that stand in other rows too, in order: start and end (bytes of the UTF-8
-    text), n (words), class (key and place of its first occurrence), occurrences, source (the key of the
-    first occurrence, by key and place) and removed (whether this isn't the first). A paragraph counts if
-    the words around it and the first occurrence's agree over at least `run` words, in steps of 4, or if
-    the row shares that many words of paragraphs with the source; short common lines don't. Repeats
-    inside one row alone don't count. Null and empty texts and texts under five words have none; rows with
-    equal keys are rows of their own. Other columns aren't read.
+    text), n (words), class (key and place of its first occurrence), occurrences, source (the key of the row
+    where it stays) and removed (whether that is another row). A paragraph counts if it lies in an aligned
+    passage of at least `run` equal words, or if the row shares that many words of paragraphs with the row
+    of their first occurrence; short common lines don't. A paragraph changed inside a passage counts with
+    it, as a class of its own. Repeats inside one row alone don't count. Null and empty texts and texts
+    under five words have none; rows with equal keys are rows of their own. Other columns aren't read.
     """
-    spark = df.sparkSession
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
     docs = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("binary").alias("_t"))
     size = docs.agg(F.sum(F.octet_length("_t"))).head()[0] or 0
     marks = spark.sparkContext.broadcast(bitmap_of(colliding_values(docs, size)))
-    rows = written(candidate_paragraphs(docs, df.schema[key].dataType.simpleString(), marks))
-    places = rows.where("h is not null").select("row", "key", "start", "end", "n", "h", "around")
-    order = F.struct(F.col("key").isNull().alias("none"), "key", "row", "start", "around")
+    rows = written(candidate_paragraphs(docs, kind, marks))
+    places = rows.where("h is not null").select("row", "key", "start", "end", "n", "h")
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "row", "start")
     texts = rows.where("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high"), F.min(order).alias("first"), F.min("text").alias("text"))
     texts = written(texts)
     links = durable(connected_components(verified_links(texts, similarity)))
@@ -360,18 +509,23 @@ def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", si
     known = classed.select("h", "class").join(classes, "class")
     found = places.join(known, "h")
     removed = (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))
-    halves = [f"cast(substring(around, {2 * i + 1}, 2) = substring(first.around, {2 * i + 1}, 2) and substring(around, {2 * i + 1}, 2) != X'0000' as int)" for i in range(2 * CONTEXT // STEP)]
-    found = found.select("row", "start", "end", F.col("n").alias("words"), "class", "occurrences", F.col("first.row").alias("home"), F.col("first.key").alias("source"), F.col("first.start").alias("place"), (F.col("n") + STEP * F.expr(" + ".join(halves))).alias("run"), removed.alias("removed"))
-    item = F.struct("start", "end", "words", "class", "occurrences", "source", "place", "run", "removed")
+    found = found.select("row", "start", "end", F.col("n").alias("words"), "class", "occurrences", F.col("first.row").alias("home"), F.col("first.key").alias("source"), F.col("first.start").alias("place"), removed.alias("removed"))
+    item = F.struct("start", "end", "words", "class", "occurrences", "source", "place", "removed")
     # what a row shares with each source, and whether that is enough
     shared = written(found.groupBy("row", "home").agg(F.sum("words").alias("words"), F.collect_list(item).alias("items")))
-    enough = F.filter("items", lambda p: p["removed"] & ((p["run"] >= run) | (F.col("words") >= run)))
-    removals = shared.where("row != home").select("row", F.explode(enough).alias("p"))
-    kept = removals.select(F.col("p.class").alias("class")).distinct()
-    own = shared.where("row = home").select("row", F.explode("items").alias("p")).join(kept, F.col("p.class") == F.col("class"), "left_semi")
     name = F.concat_ws(":", F.coalesce(F.col("p.source").cast("string"), F.lit("null")), F.col("p.place"))
-    last = F.struct("p.start", "p.end", F.col("p.words").alias("n"), name.alias("class"), "p.occurrences", "p.source", "p.removed")
-    listed = removals.unionByName(own).groupBy("row").agg(F.array_sort(F.collect_list(last)).alias("passages"))
+    removals = shared.where((F.col("row") != F.col("home")) & (F.col("words") >= run)).select("row", F.explode(F.filter("items", lambda p: p["removed"])).alias("p"))
+    kept = removals.select(F.col("p.class").alias("class")).distinct()
+    own = shared.where("row = home").select("row", F.explode("items").alias("p")).join(kept, F.col("p.class") == F.col("class"), "left_semi").select("row", "p")
+    by_words = removals.unionByName(own).select("row", "p.start", "p.end", F.col("p.words").alias("n"), name.alias("class"), "p.occurrences", "p.source", "p.removed", F.lit(0).alias("by"))
+    covered = covered_paragraphs(rows, written(aligned_passages(rows, kind, similarity, run)), kind)
+    names = shared.select("row", F.explode("items").alias("p")).select(F.col("row").alias("_row"), F.col("p.start").alias("_start"), name.alias("class"), F.col("p.occurrences").alias("occurrences"))
+    covered = covered.join(names, (F.col("row") == F.col("_row")) & (F.col("start") == F.col("_start")), "left")
+    alone = F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), F.col("start"))
+    by_place = covered.select("row", "start", "end", F.col("words").alias("n"), F.coalesce("class", alone).alias("class"), F.coalesce("occurrences", F.lit(1)).alias("occurrences"), "source", "removed", F.lit(1).alias("by"))
+    last = F.struct("start", "end", "n", "class", "occurrences", "source", "removed")
+    one = by_words.unionByName(by_place).groupBy("row", "start").agg(F.max_by(last, F.struct("removed", "by")).alias("p"))
+    listed = one.groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("passages"))
     texts_of = rows.where("h is null").select("row", "key", "n_words").join(listed, "row", "left")
     return texts_of.select(F.col("key").alias("_key"), "n_words", F.coalesce("passages", F.array()).alias("passages"))
 

@@ -306,6 +306,50 @@ def test_planted_passages_are_caught(spark):
         assert len(left) < len(texts[i]) or planted[i] == i
 
 
+def test_changed_passages_are_caught(spark):
+    """Passages of 55 to 100 words with as many changed words as a similarity of 0.8 allows: words replaced, left out or put in."""
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows, planted = [], []
+    for p in range(150):
+        passage = words(rng.randint(55, 100))
+        shown, changes = list(passage), 1 if len(passage) < 98 else 2
+        for k in range(changes, 0, -1):
+            at = k * len(passage) // (changes + 1)
+            shown[at : at + 1] = ([f"x{p}"], [f"x{p}", shown[at]], [])[p % 3]
+        assert passages.similar(passages.shingle_set(passage), passages.shingle_set(shown))
+        for k, mine in enumerate((passage, shown)):
+            rows.append((10 * p + k, " ".join(words(rng.randint(40, 120)) + mine + words(60))))
+        planted.append((10 * p + 1, 10 * p, f"x{p}"))
+    rows += [(5000 + k, " ".join(words(200))) for k in range(50)]
+    texts = dict(rows)
+    got = {r._key: r.passages for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = [(i, source, mark) for i, source, mark in planted if any(p.removed and p.source == source for p in got[i])]
+    assert len(caught) >= 0.97 * len(planted)
+    assert all(any(not p.removed for p in got[source]) for _, source, _ in caught)
+    # changed words go with the passage, except where a paragraph reaches out of it
+    left = [passages.cut(texts[i].encode(), [(p.start, p.end) for p in got[i]]).decode().split() for i, _, _ in caught]
+    marked = [mark not in t for t, (i, _, mark) in zip(left, caught, strict=True) if mark in texts[i].split()]
+    assert sum(marked) >= 0.9 * len(marked)
+    assert not any(got[5000 + k] for k in range(50))
+
+
+def test_earlier_excerpts_do_not_hide_a_whole_copy(spark):
+    """A passage's halves stand in two earlier rows; the later whole copy is still measured against the first whole one."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    rows = []
+    for p in range(100):
+        passage = words(rng.randint(55, 70))
+        half = len(passage) // 2
+        for k, mine in enumerate((passage[:half], passage[half:], passage, passage)):
+            rows.append((10 * p + k, " ".join(words(60) + mine + words(60))))
+    got = {r._key: r.passages for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = [p for p in range(100) if any(x.removed and x.source == 10 * p + 2 for x in got[10 * p + 3])]
+    assert len(caught) >= 97
+    assert not any(got[10 * p + k] for p in range(100) for k in (0, 1))
+
+
 def test_paragraphs_do_not_depend_on_neighbours():
     texts = [t.encode().translate(decontamination.FOLD) for _, t, _ in documents()[:60]] + [b"", b"one", b"a b c d e f g h"]
     whole = passages.Layout(texts)
