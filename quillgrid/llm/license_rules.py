@@ -1,9 +1,9 @@
-"""Signature rules of the license scan: label; priority; keyword; regular expression.
+"""Signature rules of the license scan: label; priority; keywords; regular expression.
 
 Expressions run over a text's lower-cased words joined by single spaces, punctuation gone ("Version 2.0" is
-"version 2 0"), and match whole words. A rule is only tried in texts that hold its keyword. Priorities:
-90 an identifier or a grant that names license and version, 70 a grant without version, 50 a title or
-characteristic clause, 30 a bare mention, 20 a generic notice.
+"version 2 0"), and match whole words. A rule is only tried in texts that hold one of its keywords (`a|b`),
+as every match does. Priorities: 90 an identifier or a grant that names license and version, 70 a grant
+without version, 50 a title or characteristic clause, 30 a bare mention, 20 a generic notice.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from typing import NamedTuple
 class Rule(NamedTuple):
     label: str
     priority: int
-    keyword: bytes
+    keywords: tuple[bytes, ...]
     pattern: re.Pattern
 
 
@@ -25,7 +25,7 @@ apache-2.0;90;apache;spdx license identifier apache 2 0
 apache-2.0;90;apache;apache org licenses license 2 0(?: txt| html)?
 apache-2.0;50;apache;apache (?:software )?license (?:version |v ?)?2(?: 0)?
 apache-2.0;50;apache;apache 2(?: 0)? licen[sc]ed?
-apache-2.0;50;apache;asl ?2(?: 0)?
+apache-2.0;50;asl|asl2;asl ?2(?: 0)?
 apache-1.1;90;apache;apache (?:software )?license (?:version |v ?)?1 1
 apache-1.1;90;apache;spdx license identifier apache 1 1
 apache-1.0;90;apache;apache (?:software )?license (?:version |v ?)?1 0
@@ -35,7 +35,7 @@ mit;90;mit;spdx license identifier mit
 mit;90;mit;(?:licensed|released|distributed|available) under (?:the )?(?:terms of the )?mit(?: x11)? licen[sc]e
 mit;70;mit;opensource org licenses mit(?: license)?(?: php)?
 mit;50;permission;permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
-mit;50;merchantability;the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit;50;substantial;the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 mit;30;mit;mit licen[sc]ed?
 mit-0;90;mit;spdx license identifier mit 0
 mit-0;50;mit;mit no attribution
@@ -51,7 +51,7 @@ isc;30;isc;isc licen[sc]e
 0bsd;50;bsd;zero clause bsd
 bsd-2-clause;90;bsd;spdx license identifier bsd 2 clause
 bsd-2-clause;70;bsd;(?:licensed|released|distributed) under (?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd) licen[sc]e
-bsd-2-clause;50;bsd;(?:simplified bsd|2 clause bsd|bsd 2 clause|freebsd) licen[sc]e
+bsd-2-clause;50;bsd|freebsd;(?:simplified bsd|2 clause bsd|bsd 2 clause|freebsd) licen[sc]e
 bsd-3-clause;90;bsd;spdx license identifier bsd 3 clause
 bsd-3-clause;70;bsd;(?:licensed|released|distributed) under (?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd) licen[sc]e
 bsd-3-clause;50;bsd;(?:new bsd|modified bsd|revised bsd|3 clause bsd|bsd 3 clause) licen[sc]e
@@ -74,8 +74,8 @@ gpl-2.0-or-later;90;gnu;gnu general public license as published by the free soft
 gpl-3.0-or-later;90;gnu;gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
 gpl-3.0;90;gnu;(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e,? (?:version |v ?)3(?: 0)?
 gpl-2.0;90;gnu;(?:licensed|released|distributed) under (?:the )?(?:terms of the )?gnu general public licen[sc]e,? (?:version |v ?)2(?: 0)?
-gpl-2.0;70;gpl;gpl ?v ?2(?: 0)?
-gpl-3.0;70;gpl;gpl ?v ?3(?: 0)?
+gpl-2.0;70;gpl|gplv|gplv2;gpl ?v ?2(?: 0)?
+gpl-3.0;70;gpl|gplv|gplv3;gpl ?v ?3(?: 0)?
 gpl-2.0;70;gplv2;gplv2
 gpl-2.0-or-later;70;gplv2;gplv2 or later
 gpl-3.0;70;gplv3;gplv3
@@ -171,7 +171,7 @@ openssl;50;openssl;openssl licen[sc]e
 openssl;50;openssl;this product includes software developed by the openssl project
 ssleay;50;eric;this product includes cryptographic software written by eric young
 curl;50;curl;curl licen[sc]e
-python-2.0;90;python;spdx license identifier (?:psf|python) 2 0
+python-2.0;90;python|psf;spdx license identifier (?:psf|python) 2 0
 python-2.0;50;python;python software foundation licen[sc]e(?: version 2)?
 cnri-python;50;cnri;cnri (?:open source )?(?:python )?licen[sc]e
 ruby;50;ruby;ruby licen[sc]e
@@ -189,7 +189,7 @@ afl-3.0;90;academic;academic free license (?:version |v ?)?3 0
 afl;50;academic;academic free licen[sc]e
 osl-3.0;90;open;open software license (?:version |v ?)?3 0
 osl-2.1;90;open;open software license (?:version |v ?)?2 1
-osl;50;license;open software licen[sc]e
+osl;50;open;open software licen[sc]e
 ms-pl;50;microsoft;microsoft public licen[sc]e
 ms-rl;50;microsoft;microsoft reciprocal licen[sc]e
 ms-pl;90;ms;spdx license identifier ms pl
@@ -213,12 +213,12 @@ pddl-1.0;50;commons;open data commons public domain dedication and licen[sc]e
 ecl-2.0;50;educational;educational community licen[sc]e(?: (?:version |v ?)?2(?: 0)?)?
 upl-1.0;50;universal;universal permissive licen[sc]e(?: (?:version |v ?)?1(?: 0)?)?
 mulanpsl-2.0;50;mulan;mulan permissive software licen[sc]e(?: (?:version |v ?)?2)?
-sspl-1.0;90;sspl;sspl ?(?:version |v ?)?1(?: 0)?
+sspl-1.0;90;sspl|sspl1|ssplv|ssplv1|ssplversion;sspl ?(?:version |v ?)?1(?: 0)?
 sspl-1.0;50;server;server side public licen[sc]e(?: version 1)?
 elastic-2.0;50;elastic;elastic licen[sc]e(?: (?:version |v ?)?2(?: 0)?)?
 commons-clause;50;clause;commons clause(?: license)?(?: condition)?
 jsonlicense;50;evil;the software shall be used for good not evil
-beerware;50;beer;beer ?ware licen[sc]e
+beerware;50;beer|beerware;beer ?ware licen[sc]e
 beerware;50;beer;you can buy me a beer in return
 cc0-1.0;90;cc0;spdx license identifier cc0 1 0
 cc0-1.0;70;cc0;cc0(?: 1 0)?(?: universal)?
@@ -271,7 +271,7 @@ proprietary;50;confidential;(?:proprietary and confidential|confidential and pro
 proprietary;50;unauthorized;unauthorized copying of this file via any medium is strictly prohibited
 proprietary;50;reserved;all rights reserved
 proprietary;30;proprietary;proprietary licen[sc]e
-proprietary;50;eula;end user licen[sc]e agreement
+proprietary;50;agreement;end user licen[sc]e agreement
 proprietary;30;eula;eula
 copyright;20;copyright;copyright (?:c )?(?:\\d{4}(?: \\d{4})? )?(?:by )?[^ ]+
 copyright;20;copyrighted;copyrighted (?:material|work|by [^ ]+)
@@ -280,7 +280,7 @@ generic;20;license;licensed under (?:the )?(?:terms of )?(?:[^ ]+ ){1,6}license
 generic;20;licence;licensed under (?:the )?(?:terms of )?(?:[^ ]+ ){1,6}licence
 generic;20;license;released under (?:the )?(?:[^ ]+ ){1,6}license
 generic;20;license;see (?:the )?license (?:file )?for (?:more )?details
-generic;20;license;(?:license|licensing) (?:terms|information|agreement)
+generic;20;license|licensing;(?:license|licensing) (?:terms|information|agreement)
 generic;20;license;spdx license identifier [^ ]+
 """.strip()
 
@@ -288,8 +288,8 @@ generic;20;license;spdx license identifier [^ ]+
 def compiled(table: str = TABLE) -> list[Rule]:
     rules = []
     for line in table.split("\n"):
-        label, priority, keyword, pattern = line.split(";", 3)
-        rules.append(Rule(label, int(priority), keyword.encode(), re.compile(f"(?<![^ ])(?:{pattern.replace(chr(92) * 2, chr(92))})(?![^ ])".encode())))
+        label, priority, keywords, pattern = line.split(";", 3)
+        rules.append(Rule(label, int(priority), tuple(keywords.encode().split(b"|")), re.compile(f"(?<![^ ])(?:{pattern.replace(chr(92) * 2, chr(92))})(?![^ ])".encode())))
     return rules
 
 

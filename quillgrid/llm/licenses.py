@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A text's distinct words are first held against the rules' keywords; most texts have none and no expression
-runs. Rules whose keyword is present are matched, and detections are ordered by priority, then length, then
+runs. Rules with a keyword that is present are matched, and detections are ordered by priority, then length, then
 place. A detection that lies inside an interval that is already kept is suppressed, so a grant with its
 version hides the bare title inside it; detections that only overlap both stay.
 """
@@ -33,7 +33,8 @@ class Detection(NamedTuple):
 def gated(rules: list[Rule] = RULES) -> dict[bytes, list[Rule]]:
     by_keyword = defaultdict(list)
     for rule in rules:
-        by_keyword[rule.keyword].append(rule)
+        for keyword in rule.keywords:
+            by_keyword[keyword].append(rule)
     return dict(by_keyword)
 
 
@@ -71,7 +72,7 @@ def detections(words: list[bytes], gate: dict[bytes, list[Rule]] = GATE) -> list
         places.append(at)
         at += len(w) + 1
     found = []
-    for rule in (r for rules in present for r in rules):
+    for rule in dict.fromkeys(r for rules in present for r in rules):
         for m in rule.pattern.finditer(joined):
             found.append(Detection(rule.label, rule.priority, bisect_left(places, m.start()), bisect_left(places, m.end())))
     return kept(found)

@@ -414,6 +414,52 @@ def test_prefilter_loses_nothing_and_base_places(spark):
         assert 0 <= r.score <= 1
 
 
+def spelled(pattern):
+    """Texts that `pattern` matches, with every alternative and option; repetitions once at the least number and once at one more."""
+    def each(items):
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "IN":
+                more = [chr(v) for k, v in arg if str(k) == "LITERAL"] if str(arg[0][0]) != "NEGATE" else ["zq"]
+                more = more or ["7"]
+            elif name == "NOT_LITERAL":
+                more = ["zq"]
+            elif name == "SUBPATTERN":
+                more = each(arg[3])
+            elif name == "BRANCH":
+                more = [x for branch in arg[1] for x in each(branch)]
+            elif name == "MAX_REPEAT":
+                least, most, inner = arg
+                more = [x * k for x in each(inner) for k in range(least, min(most, least + 1) + 1)]
+            else:
+                more = [""]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return {x for x in each(re._parser.parse(pattern)) if "," not in x}
+
+
+def test_every_match_holds_a_keyword_of_its_rule():
+    for r in license_rules.RULES:
+        for text in spelled(r.pattern.pattern.decode()):
+            assert r.pattern.search(text.encode()), (r.label, text)
+            assert not set(r.keywords).isdisjoint(text.encode().split(b" ")), (r.label, text)
+    for text, label in (
+        (b"end user license agreement", "proprietary"),
+        (b"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+        (b"beerware license", "beerware"),
+        (b"asl 2 0", "apache-2.0"),
+        (b"open software licence", "osl"),
+        (b"licensing terms", "generic"),
+        (b"freebsd license", "bsd-2-clause"),
+        (b"spdx license identifier psf 2 0", "python-2.0"),
+    ):
+        assert label in [d.label for d in licenses.detections(text.split())]
+
+
 # quotations
 QUOTES = [
     (1, 0, "user", "Hello there my dear friend of mine\nSecond line goes here ok"),
