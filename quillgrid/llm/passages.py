@@ -1,60 +1,61 @@
 """Substring deduplication by paragraph MinHash banding.
 
-A paragraph is a piece of a text's words (case, punctuation and line breaks aside) between two breaks, and
-breaks are set by content: where the hash of two neighbouring words is the least within `REACH` places on
-either side. A passage that stands in two documents is therefore cut alike in both, wherever it stands and
-however its lines are broken; passages of over 50 words hold whole paragraphs of 7 words or more.
-
-Paragraphs get MinHashes of their 5-word shingles in `BANDS` bands of `ROWS` rows: at a similarity of 0.8
-a pair collides in some band with probability 1 - (1 - 0.8**2)**6 = 0.998. Band values that occur once are
-counted out first, by merging sorted values of partitions, so that only paragraphs with a collision are
-moved. Equal paragraphs are combined, colliding ones are verified by exact Jaccard similarity, and the
-connected components of verified pairs are the classes.
-
-Whole passages are found from anchors: hashes of 16 and of 44 words, the least of 9 and of 7 neighbouring
-ones. A run of 24 equal words holds an anchor of the first kind, one of 50 words an anchor of the second.
-Each anchor leads to its first occurrence; from there the two texts are compared along their alignment,
-word by word, and what is similar at 0.8 with `RUN` equal words or more is a passage, changed words inside
-it included. The first occurrence of a passage stays and the paragraphs inside the others are removals.
+Words are compared without case, punctuation and line breaks. A text's words have breaks that are set by
+content: where the hash of two neighbouring words is the least within `REACH` places on either side, and
+at both ends of a stretch that repeats a word or a short line. A paragraph goes from a break to the first
+break that is at least `LEAST` words further, so paragraphs overlap and a passage that stands in two texts
+holds the same paragraphs in both, wherever it stands and however its lines are broken (all passages of 50
+words or more in the tests). A text that is shorter is one paragraph.
+
+1. Paragraphs get MinHashes of their 5-word shingles in `BANDS` bands of `ROWS` rows: at a similarity of
+   0.8 two collide in some band with probability 1 - (1 - 0.8**2)**4 = 0.983. Band values are brought
+   together in slices as sorted arrays; a text goes on if one of its values occurs again. Values that
+   occur again inside a task's own texts are sent once, so a frequent line doesn't gather in one slice.
+2. Colliding paragraphs are verified by exact Jaccard similarity of their words' shingles. Equal ones are
+   grouped by their bytes before. A band with very many paragraphs is cut by a prefix join: only those are
+   compared that share one of their rarest shingles.
+3. Connected components of verified pairs are the classes. The first occurrence of a class stays, by key
+   and place, the others are removals.
+4. Paragraphs found next to each other, with at most `GAP` other words between them, are put together, and
+   these longer paragraphs go through 2 and 3 as well (in 6 bands): so a passage with a few changed words
+   is removed as a whole, changed words included.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, table, written
 from .components import connected_components
 from .decontamination import FOLD
-from .exact_dedup import BITMAP_BITS, bitmap_of
 
-REACH = 6
+REACH = 4
+LEAST = 16
 LONGEST = 64
+#: Words of the pieces into which a stretch of repeated words is cut.
+STRETCH = 32
+GAP = 24
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 6, 2
+BANDS, ROWS = 4, 2
+LONG_BANDS = 6
 SLICE_BYTES = 16 << 20
 FLUSH = 1 << 22
-GROUP = 1024
+GROUP = 512
 GATHER = 1 << 17
-
-#: Equal words that an aligned passage, or the paragraphs shared with one document, need.
-RUN = 44
-#: Words of an anchor, and the number of neighbouring ones of which it is the least.
-ANCHORS = ((16, 9), (RUN, 7))
-#: Places by which an alignment may shift beside those of its anchors.
-SHIFT = 2
+TAG_BITS = 40
 
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
 _RNG = np.random.default_rng(20)
-_MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(1, 1 << 63, LONG_BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, LONG_BANDS * ROWS, dtype=np.uint64)
 _PRIME, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -66,8 +67,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
 class Layout:
     """Texts side by side, as word hashes in one array, cut into paragraphs.
 
-    Texts are kept apart by REACH empty places, so that no break depends on a neighbouring text. starts,
-    ends, first and last are places per paragraph: its own and its text's; owner is its text.
+    Texts are kept apart by REACH empty places, so that no break depends on a neighbouring text. starts and
+    ends are places of paragraphs, first and last those of their texts; owner is their text.
     """
 
     def __init__(self, texts: list[bytes]):
@@ -84,96 +85,94 @@ class Layout:
         self.begin = np.r_[0, np.cumsum(self.sizes + REACH)]
         self.hashes = np.zeros(self.begin[-1], np.uint64)
         self.hashes[np.arange(len(words)) + REACH * np.repeat(np.arange(len(texts)), self.sizes)] = words
-        self._cut(np.unique(np.r_[self.begin[np.flatnonzero(self.sizes)], self._breaks(self.begin, self.sizes)]))
-        if len(self.starts) and (self.ends - self.starts > LONGEST).any():
-            self._cut(np.concatenate([np.arange(s, e, LONGEST) for s, e in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]))
 
-    def _cut(self, starts: np.ndarray) -> None:
-        owner = np.searchsorted(self.begin, starts, "right") - 1
-        self.starts, self.owner, self.first, self.last = starts, owner, self.begin[owner], self.begin[owner] + self.sizes[owner]
-        self.ends = np.minimum(np.r_[starts[1:], len(self.hashes)], self.last) if len(starts) else starts
+    def _take(self, starts: np.ndarray, ends: np.ndarray | None = None) -> None:
+        self.starts = starts
+        self.owner = np.searchsorted(self.begin, starts, "right") - 1
+        self.first, self.last = self.begin[self.owner], self.begin[self.owner] + self.sizes[self.owner]
+        self.ends = self.last if ends is None else ends
 
     def whole(self) -> Layout:
         """Each text as one paragraph."""
-        self._cut(self.begin[:-1])
+        self._take(self.begin[:-1])
+        self.owner, self.last = np.arange(len(self.sizes)), self.begin[:-1] + self.sizes
         self.ends = self.last
         return self
 
-    def spans(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the chosen paragraphs in the buffer."""
-        gaps = REACH * self.owner[which]
-        return self.word_starts[self.starts[which] - gaps], self.word_ends[self.ends[which] - 1 - gaps]
+    def paragraphs(self, least: int = LEAST) -> Layout:
+        """From each break to the first one that is `least` words further, and from the last that leaves as many to the text's end; texts of SHINGLE words or more that are shorter as a whole."""
+        self._take(self.breaks())
+        marks = np.unique(np.r_[self.starts, self.last])
+        at = np.searchsorted(marks, self.starts + least)
+        ends = np.r_[marks, np.int64(1) << 62][at]
+        short = (self.starts == self.first) & (ends > self.last) & (self.last - self.starts >= SHINGLE)
+        ends = np.where(short, self.last, ends)
+        room = self.last - self.starts >= least
+        final = room & ~np.r_[room[1:] & (self.owner[1:] == self.owner[:-1]), False] & (ends != self.last)
+        starts, ends = np.r_[self.starts, self.starts[final]], np.r_[ends, self.last[final]]
+        real = np.flatnonzero(ends <= np.r_[self.last, self.last[final]])
+        order = real[np.lexsort((ends[real], starts[real]))]
+        self._take(starts[order], ends[order])
+        return self
 
-    def _breaks(self, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Places that start a paragraph inside a text: after the least of the pair hashes within REACH."""
-        h = self.hashes
+    def breaks(self) -> np.ndarray:
+        """Places of breaks, the beginnings of texts included."""
+        h, heads = self.hashes, self.begin[np.flatnonzero(self.sizes)]
         if len(h) < 2:
-            return np.zeros(0, np.int64)
-        pair = mixed(h[:-1] * _PRIME + h[1:])
+            return heads
         real = np.zeros(len(h) + 1, np.int64)
-        np.add.at(real, begin[:-1], 1)
-        np.add.at(real, begin[:-1] + sizes, -1)
+        np.add.at(real, self.begin[:-1], 1)
+        np.add.at(real, self.begin[:-1] + self.sizes, -1)
         real = np.cumsum(real)[:-1] > 0
+        pair = mixed(h[:-1] * _PRIME + h[1:])
         pair[~(real[:-1] & real[1:])] = _MAX
-        least = pair != _MAX
+        least, again = pair != _MAX, np.zeros(len(h), bool)
         for k in range(1, min(REACH, len(pair) - 1) + 1):
             least[k:] &= pair[k:] < pair[:-k]
             least[:-k] &= pair[:-k] <= pair[k:]
-        return np.flatnonzero(least) + 1
+            again[k:] |= (h[k:] == h[:-k]) & real[k:]
+        edges = np.flatnonzero(np.diff(np.r_[False, again, False]))
+        low, high = edges[::2], edges[1::2]
+        long = high - low >= LEAST
+        cuts = np.flatnonzero(least) + 1
+        if long.any():
+            low, high = low[long], high[long]
+            inside = np.searchsorted(low, cuts, "right") - 1
+            cuts = cuts[(inside < 0) | (cuts >= high[np.maximum(inside, 0)])]
+            cuts = np.concatenate([cuts, high[(high < len(h)) & real[np.minimum(high, len(h) - 1)]], *(np.arange(a, z, STRETCH) for a, z in zip(low.tolist(), high.tolist(), strict=True))])
+        cuts = np.unique(np.r_[heads, cuts])
+        ends = np.minimum(np.r_[cuts[1:], len(h)], (self.begin[:-1] + self.sizes)[np.searchsorted(self.begin, cuts, "right") - 1])
+        far = np.flatnonzero(ends - cuts > LONGEST)
+        return np.unique(np.concatenate([cuts, *(np.arange(cuts[i], ends[i], LONGEST) for i in far)]))
+
+    def words_before(self, places: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        return places - REACH * owner
+
+    def bytes_of(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the chosen paragraphs in the buffer."""
+        gaps = REACH * self.owner[which]
+        return self.word_starts[self.starts[which] - gaps], self.word_ends[self.ends[which] - 1 - gaps]
 
-    def bands(self) -> np.ndarray:
-        """(paragraphs, BANDS) of band values; paragraphs under SHINGLE words have all-ones values."""
+    def bands(self, bands: int = BANDS) -> np.ndarray:
+        """(paragraphs, bands) of band values; paragraphs under SHINGLE words have all-ones values."""
         h, n = self.hashes, len(self.hashes)
-        out = np.full((len(self.starts), BANDS), _MAX, np.uint64)
-        if n < SHINGLE or not len(self.starts):
+        out = np.full((len(self.starts), bands), _MAX, np.uint64)
+        usable = self.ends - self.starts >= SHINGLE
+        if not usable.any():
             return out
         s = np.zeros(n - SHINGLE + 1, np.uint64)
         for k in range(SHINGLE):
             s = mixed(s * _PRIME + h[k : n - SHINGLE + 1 + k])
-        spans = np.diff(np.r_[self.starts, n])
-        upto = np.zeros(n, np.int64)
-        upto[self.starts[0] :] = np.repeat(self.ends, spans)
-        outside = upto[: len(s)] - np.arange(len(s)) < SHINGLE
-        usable = self.ends - self.starts >= SHINGLE
-        cuts = self.starts[self.starts < len(s)]
-        mins = np.empty((BANDS * ROWS, len(self.starts)), np.uint64)
-        for k in range(BANDS * ROWS):
-            p = mixed(s * _MULTIPLY[k] + _ADD[k])
-            p[outside] = _MAX
-            mins[k, : len(cuts)] = np.minimum.reduceat(p, cuts)
-        for b in range(BANDS):
-            value = np.full(len(self.starts), np.uint64(b + 1))
+        # reduceat over (start, end) pairs: every second result belongs to a paragraph
+        cuts = np.stack([self.starts[usable], self.ends[usable] - SHINGLE + 1], axis=1).ravel()
+        for b in range(bands):
+            value = np.full(len(cuts) // 2, np.uint64(b + 1))
             for r in range(ROWS):
-                value = mixed(value * _PRIME + mins[b * ROWS + r])
-            out[usable, b] = value[usable]
+                p = mixed(s * _MULTIPLY[b * ROWS + r] + _ADD[b * ROWS + r])
+                value = mixed(value * _PRIME + np.minimum.reduceat(np.r_[p, _MAX], cuts)[::2])
+            out[usable, b] = value
         return out
 
-    def names(self, which: np.ndarray) -> np.ndarray:
-        """64-bit hashes of the chosen paragraphs' words."""
-        sums = np.r_[np.uint64(0), np.cumsum(mixed(self.hashes) * _powers(len(self.hashes)))]
-        starts, ends = self.starts[which], self.ends[which]
-        return mixed((sums[ends] - sums[starts]) * _inverses(len(self.hashes) + 1)[starts] + (ends - starts).astype(np.uint64))
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Places and values of the texts' anchors, in order of place for each kind; of a row of equal ones the first and the last."""
-        n, at, found = len(self.hashes), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        sums = np.r_[np.uint64(0), np.cumsum(mixed(self.hashes) * _powers(n))]
-        upto = np.repeat(self.begin[:-1] + self.sizes, np.diff(self.begin))
-        for words, window in ANCHORS:
-            if n < words + window:
-                continue
-            m = n - words + 1
-            # a sum over powers of the place, brought to place 0 by the inverse power
-            values = mixed((sums[words:] - sums[:m]) * _inverses(n)[:m] + np.uint64(words))
-            values[np.arange(m) + words > upto[:m]] = _MAX
-            least = np.unique(np.arange(m - window + 1) + np.lib.stride_tricks.sliding_window_view(values, window).argmin(axis=1))
-            least = least[values[least] != _MAX]
-            v = values[least]
-            least = least[np.r_[True, v[1:] != v[:-1]] | np.r_[v[1:] != v[:-1], True]] if len(least) else least
-            at.append(least)
-            found.append(values[least])
-        return np.concatenate(at), np.concatenate(found)
-
 
 _GROWN: dict[int, np.ndarray] = {}
 
@@ -206,6 +205,12 @@ def similar(a: set, b: set, similarity: float = SIMILARITY) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
+def prefix_lengths(size: int, similarity: float = SIMILARITY) -> tuple[int, int]:
+    """How many of its rarest shingles a set is found by, and how many it looks up among sets that aren't larger."""
+    held = size - math.ceil(2 * similarity / (1 + similarity) * size - 1e-9) + 1
+    return held, size - math.ceil(similarity * size - 1e-9) + 1
+
+
 def laid_out(texts: Iterator[bytes | None], fold: bool = True) -> Iterator[Layout]:
     """Layouts of some texts at a time; every text is in one of them, in order."""
     held, size = [], 0
@@ -219,59 +224,170 @@ def laid_out(texts: Iterator[bytes | None], fold: bool = True) -> Iterator[Layou
         yield Layout(held)
 
 
-def bloom(values: np.ndarray, size: int) -> list[np.ndarray]:
-    """Three places in a bitmap of `size` bits for each value."""
-    return [(mixed(values + np.uint64(k * int(_PRIME) % (1 << 64))) >> np.uint64(1)).astype(np.int64) % size for k in range(3)]
-
+def slice_bits(total_bytes: int) -> int:
+    return max(0, min(20, (total_bytes // SLICE_BYTES).bit_length()))
 
-def colliding_values(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """fp: bitmap places of band values and anchors that occur at least twice, by merging sorted values of partitions slice by slice."""
-    bits = max(0, min(16, (total_bytes // SLICE_BYTES).bit_length()))
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def packed(held: list[np.ndarray]) -> pd.DataFrame:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            twice = np.repeat(values, np.minimum(counts, 2))
-            cuts = (twice >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(twice), np.int64)
-            edges = np.flatnonzero(np.r_[True, cuts[1:] != cuts[:-1], True]) if len(twice) else np.zeros(1, np.int64)
-            rows = [(int(cuts[a]), twice[a:z].tobytes()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
-            return pd.DataFrame(rows, columns=["slice", "data"])
+def cut_values(values: np.ndarray, bits: int) -> np.ndarray:
+    """The leading 32 + bits bits: those of the slice, and 32 inside it. Equal by chance only means a text too many is read again."""
+    return values >> np.uint64(32 - bits)
 
-        held, size = [], 0
-        for b in batches:
-            for layout in laid_out(b["_t"]):
-                values = layout.bands().ravel()
-                held += [values[values != _MAX], layout.anchors()[1]]
-                size += len(held[-1]) + len(held[-2])
-                if size >= FLUSH:
-                    yield packed(held)
-                    held, size = [], 0
-        if held:
-            yield packed(held)
 
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        values, counts = np.unique(np.concatenate([np.frombuffer(d, np.uint64) for d in part["data"]]), return_counts=True)
-        places = bloom(values[counts > 1], BITMAP_BITS)
-        return pd.DataFrame({"fp": np.unique(np.concatenate(places))})
-
-    return docs.select("_t").mapInPandas(build, "slice int, data binary").groupBy("slice").applyInPandas(merge, "fp long")
+def colliding_values(docs: DataFrame, bits: int) -> DataFrame:
+    """tag, value: the band values of a text (columns a, b, _t; tag: low bits of a) that occur again.
 
+    Each task sends a value once, sorted by slice, and tells by itself the texts that share one.
+    """
+    flush = max(FLUSH, min(1 << 24, 16 << bits))
+
+    def packed(values: list[np.ndarray], tags: list[np.ndarray], again: set[int], part: int) -> pa.RecordBatch:
+        v, t = np.concatenate(values), np.concatenate(tags)
+        order = np.lexsort((t, v))
+        v, t = v[order], t[order]
+        new = np.r_[True, (v[1:] != v[:-1]) | (t[1:] != t[:-1])]  # overlapping paragraphs of a text may share a value
+        v, t = v[new], t[new]
+        twice = np.r_[v[1:] == v[:-1], False]
+        twice[1:] |= twice[:-1].copy()
+        here = twice if not again else twice | np.isin(t, np.fromiter(again, np.uint64, len(again)))
+        first = np.r_[True, v[1:] != v[:-1]]
+        sent_v, sent_t = v[first], t[first]
+        cuts = (sent_v >> np.uint64(32)).astype(np.int64)
+        edges = np.flatnonzero(np.r_[True, cuts[1:] != cuts[:-1], True])
+        rows = [(int(cuts[a]), _pack(sent_v[a:z], sent_t[a:z])) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+        if here.any():
+            rows.append((-1 - part % (1 << bits), np.r_[v[here], t[here]].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.large_binary()).cast(pa.binary())], ["slice", "data"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, tags, again, seen, size, part = [], [], set(), set(), 0, 0
+        for b in batches:
+            a, other = b.column(0).to_pylist(), b.column(1).to_pylist()
+            fresh = []
+            for i, who in enumerate(zip(a, other, strict=True)):
+                if who in seen:
+                    again.add(who[0] & ((1 << TAG_BITS) - 1))
+                else:
+                    seen.add(who)
+                    fresh.append(i)
+            at = 0
+            part ^= hash((a[0], other[0])) & 0x7FFFFFFF if a else 0
+            for layout in laid_out(b.column(2)[i].as_buffer().to_pybytes() if b.column(2)[i].is_valid else None for i in fresh):
+                v = cut_values(layout.paragraphs().bands(), bits)
+                mine = np.array([a[i] & ((1 << TAG_BITS) - 1) for i in fresh[at : at + len(layout.sizes)]], np.uint64)
+                at += len(layout.sizes)
+                values.append(v.ravel())
+                tags.append(np.repeat(mine[layout.owner], BANDS))
+                size += v.size
+                if size >= flush:
+                    yield packed(values, tags, again, part)
+                    values, tags, again, seen, size = [], [], set(), set(), 0
+                    seen.update((a[i], other[i]) for i in fresh[:at])
+        if size:
+            yield packed(values, tags, again, part)
+
+    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            held = [np.frombuffer(d, np.uint64).reshape(2, -1) for d in part["data"]]
+            values, tags = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+        else:
+            held = [_unpack(d) for d in part["data"]]
+            rest, tags = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            order = np.argsort(rest, kind="stable")
+            rest, tags = rest[order], tags[order]
+            twice = np.r_[rest[1:] == rest[:-1], False]
+            twice[1:] |= twice[:-1].copy()
+            values, tags = rest[twice].astype(np.uint64) + (np.uint64(key[0]) << np.uint64(32)), tags[twice]
+        return pd.DataFrame({"tag": tags.astype(np.int64), "value": values.astype(np.int64)})
+
+    given = docs.select("a", "b", "_t").mapInArrow(build, "slice long, data binary")
+    return given.groupBy("slice").applyInPandas(merge, "tag long, value long")
+
+
+def _pack(values: np.ndarray, tags: np.ndarray) -> bytes:
+    """9 bytes each: 32 bits of the value, 40 of the tag."""
+    low, high = (tags & np.uint64(0xFFFFFFFF)).astype(np.uint32), (tags >> np.uint64(32)).astype(np.uint8)
+    return (values & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + low.tobytes() + high.tobytes()
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data) // 9
+    low, high = np.frombuffer(data, np.uint32, n, 4 * n), np.frombuffer(data, np.uint8, n, 8 * n)
+    return np.frombuffer(data, np.uint32, n), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
+def colliding_paragraphs(texts: DataFrame, bits: int) -> DataFrame:
+    """row, at, n (words), start, end (bytes) and words (in single spaces) of the paragraphs of `texts` (row, text, values) with one of `values`."""
 
-def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int = GROUP) -> DataFrame:
-    """Distinct paragraphs (h, text) -> edges a, b whose components are those of all similar colliding pairs.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, at = b.column(0).to_numpy(), 0
+            for layout in laid_out(x.as_buffer().to_pybytes() for x in b.column(1)):
+                values = cut_values(layout.paragraphs().bands(), bits)
+                n = len(layout.sizes)
+                edges = np.searchsorted(layout.owner, np.arange(n + 1))
+                hit = np.zeros(len(layout.starts), bool)
+                for i in range(n):
+                    known = b.column(2)[at + i].values.to_numpy().astype(np.uint64)
+                    hit[edges[i] : edges[i + 1]] = np.isin(values[edges[i] : edges[i + 1]], known).any(axis=1)
+                which = np.flatnonzero(hit)
+                low, high = layout.bytes_of(which)
+                owner, base = layout.owner[which], layout.at[layout.owner[which]]
+                words = [b" ".join(layout.buffer[s:e].split()) for s, e in zip(low.tolist(), high.tolist(), strict=True)]
+                columns = [rows[at + owner], (layout.starts - layout.first)[which], (layout.ends - layout.starts)[which], low - base, high - base]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c.astype(np.int32)) for c in columns[1:]), pa.array(words, pa.binary())], ["row", "at", "n", "start", "end", "words"])
+                at += n
+
+    return texts.select("row", "text", "values").mapInArrow(run, "row long, at int, n int, start int, end int, words binary")
+
+
+def joined_paragraphs(texts: DataFrame, found: DataFrame, gap: int = GAP) -> DataFrame:
+    """Paragraphs like those of colliding_paragraphs, put together from two or more of `found` in a row with at most `gap` words between neighbours."""
+    listed = found.groupBy("row").agg(F.collect_set(F.struct("at", "n", "start", "end")).alias("p")).where(F.size("p") > 1)
 
-    A band value with more than `group` paragraphs is cut into blocks, and each pair of blocks is compared
-    in its own task; pairs that a task has already joined aren't compared again.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for row, text, parts in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                text, chains = text.as_buffer().to_pybytes(), []
+                for p in sorted(parts, key=lambda p: (p["at"], p["n"])):
+                    if chains and p["at"] <= chains[-1][1] + gap:
+                        c = chains[-1]
+                        c[1], c[3], c[4] = max(c[1], p["at"] + p["n"]), max(c[3], p["end"]), c[4] + 1
+                    else:
+                        chains.append([p["at"], p["at"] + p["n"], p["start"], p["end"], 1])
+                out += [(row, at, upto - at, start, end, b" ".join(text[start:end].translate(FOLD).split())) for at, upto, start, end, k in chains if k > 1]
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.int64(), *[pa.int32()] * 4, pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "at", "n", "start", "end", "words"])
+
+    return texts.join(listed, "row").select("row", "text", "p").mapInArrow(run, "row long, at int, n int, start int, end int, words binary")
+
+
+def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, bands: int = BANDS) -> DataFrame:
+    """Distinct paragraphs (id, words) -> edges a, b whose components are those of all similar colliding pairs.
+
+    A band value with more than `group` paragraphs is cut by its shingles, rarest first: a paragraph is found
+    by some of its rarest and looks up some more, which no similar pair escapes. What still holds more than
+    `group` is cut into blocks, and each pair of blocks is compared in its own task.
     """
 
-    def bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            values = np.concatenate([np.zeros((0, BANDS), np.uint64), *(layout.whole().bands() for layout in laid_out(b["text"], fold=False))])
-            rows = pd.DataFrame({"band": values.view(np.int64).ravel(), "h": np.repeat(b["h"].to_numpy(), BANDS)})
+            values = np.concatenate([np.zeros((0, bands), np.uint64), *(layout.whole().bands(bands) for layout in laid_out(b["words"], fold=False))])
+            rows = pd.DataFrame({"band": values.view(np.int64).ravel(), "id": np.repeat(b["id"].to_numpy(), bands)})
             yield rows[rows["band"] != -1].drop_duplicates()
 
-    def verify(ids: list[int], blocks: list[int], texts: list[bytes], own: bool) -> Iterator[tuple[int, int]]:
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for band, k, words in zip(b["band"], b["id"], b["words"], strict=True):
+                words = bytes(words).split()
+                mine = [b" ".join(s) for s in shingle_set(words)]
+                yield pd.DataFrame({"band": band, "id": k, "token": mine, "size": len(mine)})
+
+    def verify(rows: list[tuple[int, int, bool, bytes]], own: bool) -> Iterator[tuple[int, int]]:
+        ids, blocks, held, texts = zip(*rows, strict=True)
         sets = [shingle_set(bytes(t).split()) for t in texts]
+        order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
         root = list(range(len(ids)))
 
         def find(i: int) -> int:
@@ -280,261 +396,128 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int
                 i = root[i]
             return i
 
-        for x in range(1, len(ids)):
-            for y in range(x):
-                if (own or blocks[x] != blocks[y]) and find(x) != find(y) and similar(sets[x], sets[y], similarity):
+        for k, x in enumerate(order):
+            least = similarity * len(sets[x]) - 1e-9
+            for y in reversed(order[:k]):
+                if len(sets[y]) < least:
+                    break
+                if held[y] and (own or blocks[x] != blocks[y]) and find(x) != find(y) and similar(sets[x], sets[y], similarity):
                     root[find(x)] = find(y)
         return ((ids[x], ids[find(x)]) for x in range(len(ids)) if find(x) != x)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, edges = None, [], []
         for b in batches:
-            for band, i, j, *row in zip(b["band"], b["i"], b["j"], b["h"], b["block"], b["text"], strict=True):
-                if (band, i, j) != at:
+            for cell, i, j, *row in zip(b["cell"], b["i"], b["j"], b["id"], b["block"], b["held"], b["words"], strict=True):
+                if (cell, i, j) != at:
                     if len(held) > 1:
-                        edges += verify(*map(list, zip(*held, strict=True)), at[1] == at[2])
-                    at, held = (band, i, j), []
+                        edges += verify(held, at[1] == at[2])
+                    at, held = (cell, i, j), []
                 held.append(row)
-            yield pd.DataFrame(edges, columns=["a", "b"])
+            yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
             edges = []
         if len(held) > 1:
-            yield pd.DataFrame(list(verify(*map(list, zip(*held, strict=True)), at[1] == at[2])), columns=["a", "b"])
-
-    rows = texts.select("h", "text").mapInPandas(bands, "band long, h long")
-    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("band"))).where("n > 1").withColumn("k", F.ceil(F.col("n") / group).cast("int"))
-    shared = durable(shared.withColumn("block", F.pmod(F.col("h"), F.col("k")).cast("int")).drop("n"))
-    spread = shared.join(texts.select("h", "text"), "h").select("band", "h", "text", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
-    spread = spread.select("band", "h", "text", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    return spread.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInPandas(run, "a long, b long")
-
-
-def candidate_paragraphs(docs: DataFrame, kind: str, bits) -> DataFrame:
-    """Two kinds of rows: a text's (row, key, n_words; h null), and its paragraphs with a collision (row, key, place).
-
-    A text with anchors that occur again has them (values, at: words before them), its words as 16-bit
-    hashes (words) and its paragraphs (cuts: first byte, byte after the last, words before, words).
-    """
-    fields = ["row", "key", "n_words", "start", "end", "n", "h", "text", "values", "at", "words", "cuts"]
-    schema = f"row long, key {kind}, n_words long, start int, end int, n int, h long, text binary, values array<long>, at array<int>, words binary, cuts binary"
-
-    def again(values: np.ndarray, marks: np.ndarray) -> np.ndarray:
-        hit = values != _MAX
-        for at in bloom(values, len(marks) * 8):
-            hit &= (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-        return hit
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks, row = bits.value, TaskContext.get().partitionId() << 33
-        for b in batches:
-            keys, done = b.column(0), 0
-            for layout in laid_out(x.as_buffer().to_pybytes() if x.is_valid else None for x in b.column(1)):
-                hit = np.flatnonzero(again(layout.bands(), marks).any(axis=1))
-                low, high = layout.spans(np.arange(len(layout.starts)))
-                low, high, size = low - layout.at[layout.owner], high - layout.at[layout.owner], layout.ends - layout.starts
-                owner, n, base = layout.owner[hit], len(layout.sizes), layout.at[layout.owner[hit]]
-                texts = [b" ".join(layout.buffer[s:e].split()) for s, e in zip((base + low[hit]).tolist(), (base + high[hit]).tolist(), strict=True)]
-                place, value = layout.anchors()
-                seen = again(value, marks)
-                place, value = place[seen], value[seen].view(np.int64)
-                text_of = np.searchsorted(layout.begin, place, "right") - 1
-                order = np.argsort(text_of, kind="stable")
-                edges = np.searchsorted(text_of[order], np.arange(n + 1))
-                place, value = (place - layout.begin[text_of])[order].astype(np.int32), value[order]
-                words, cuts = [None] * n, [None] * n
-                table = np.stack([low, high, layout.starts - layout.first, size], axis=1).astype(np.int32)
-                rows_of = np.searchsorted(layout.owner, np.arange(n + 1))
-                for i in np.flatnonzero(np.diff(edges)).tolist():
-                    words[i] = (layout.hashes[layout.begin[i] : layout.begin[i] + layout.sizes[i]] >> np.uint64(48)).astype(np.uint16).tobytes()
-                    cuts[i] = table[rows_of[i] : rows_of[i + 1]].tobytes()
-                none = lambda k, m: pa.nulls(m, k)
-                lists = lambda x: pa.concat_arrays([pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(x)), none(pa.list_(pa.array(x).type), len(hit))])  # noqa: E731, B023
-                here = keys.slice(done, n)
-                columns = [
-                    pa.array(np.r_[np.arange(n), owner] + row),
-                    pa.concat_arrays([here, here.take(pa.array(owner))]),
-                    pa.concat_arrays([pa.array(layout.sizes.astype(np.int64)), none(pa.int64(), len(hit))]),
-                    pa.concat_arrays([none(pa.int32(), n), pa.array(low[hit].astype(np.int32))]),
-                    pa.concat_arrays([none(pa.int32(), n), pa.array(high[hit].astype(np.int32))]),
-                    pa.concat_arrays([none(pa.int32(), n), pa.array(size[hit].astype(np.int32))]),
-                    pa.concat_arrays([none(pa.int64(), n), pa.array(layout.names(hit).view(np.int64))]),
-                    pa.concat_arrays([none(pa.binary(), n), pa.array(texts, pa.binary())]),
-                    lists(value),
-                    lists(place),
-                    pa.concat_arrays([pa.array(words, pa.binary()), none(pa.binary(), len(hit))]),
-                    pa.concat_arrays([pa.array(cuts, pa.binary()), none(pa.binary(), len(hit))]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, fields)
-                done += n
-                row += n
-
-    return docs.mapInArrow(run, schema)
-
-
-def equal_runs(a: np.ndarray, b: np.ndarray, shifts: list[int]) -> np.ndarray:
-    """(runs, 3) of runs of SHINGLE equal words or more with a[i + shift] = b[i]: place in a, place in b, words."""
-    out = []
-    for d in shifts:
-        low = max(0, -d)
-        n = min(len(b), len(a) - d) - low
-        if n < SHINGLE:
-            continue
-        edges = np.flatnonzero(np.diff(np.r_[False, a[low + d : low + d + n] == b[low : low + n], False]))
-        first, size = edges[::2] + low, edges[1::2] - edges[::2]
-        long = size >= SHINGLE
-        out.append(np.stack([first[long] + d, first[long], size[long]], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-
-
-def aligned(a: np.ndarray, b: np.ndarray, shifts: list[int], similarity: float = SIMILARITY, run: int = RUN) -> list[tuple[int, int, int, int]]:
-    """Passages of two texts (word hashes) along the given shifts: first and end in a, first and end in b.
-
-    Runs of equal words follow each other in both texts; a stretch from one run to another is a passage if
-    its runs have `run` words and the shingles inside them are a Jaccard similarity of `similarity`.
+            yield pd.DataFrame(list(verify(held, at[1] == at[2])), columns=["a", "b"], dtype="int64")
+
+    rows = durable(texts.select("id", "words").mapInPandas(banded, "band long, id long"))
+    counted = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
+    shared = durable(rows.join(counted, "band"))
+    cells = shared.where(F.col("m") <= group).select(F.col("band").alias("cell"), "id", F.lit(True).alias("held"), "m")
+    hot = shared.where(F.col("m") > group)
+    if hot.head(1):
+        parts = durable(hot.join(texts.select("id", "words"), "id").select("band", "id", "words").mapInPandas(tokens, "band long, id long, token binary, size int").withColumn("token", F.xxhash64("band", "token")))
+        often = parts.groupBy("token").agg(F.count("*").alias("often"))
+        rank = F.row_number().over(Window.partitionBy("band", "id").orderBy("often", "token"))
+        ranked = parts.join(often, "token").withColumn("k", rank)
+        held = F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-9) + 1
+        looks = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+        small = durable(ranked.where(F.col("k") <= looks).select(F.col("token").alias("cell"), "id", (F.col("k") <= held).alias("held")))
+        fewer = small.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
+        cells = cells.unionByName(small.join(fewer, "cell"))
+    cells = cells.withColumn("k", F.ceil(F.col("m") / group).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    spread = cells.join(texts.select("id", "words"), "id").select("cell", "id", "held", "words", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    spread = spread.select("cell", "id", "held", "words", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    return spread.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInPandas(run, "a long, b long")
+
+
+def classed(units: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
+    """The paragraphs of `units` whose class stands in several rows, with the class's first place.
+
+    row, at, n, start, end, class (long), occurrences, home, source, byte and upto (row, key, first byte and
+    word after the last of that place).
     """
-    runs = equal_runs(a, b, shifts)
-    if not (len(runs) == 1 and runs[0, 2] == len(a)):
-        runs = equal_runs(a, b, sorted({d + k for d in shifts for k in range(-SHIFT, SHIFT + 1)}))
-    chains: list[list[tuple[int, int, int]]] = []
-    for p, q, n in runs[np.lexsort((-runs[:, 2], runs[:, 0]))].tolist():
-        if chains:
-            before, other, size = chains[-1][-1]
-            over = before + size - p
-            if over >= n:
-                continue
-            step = max(over, other + size - q, 0) if q >= other else 0
-            if q >= other and n - step >= SHINGLE:
-                chains[-1].append((p + step, q + step, n - step))
-                continue
-        chains.append([(p, q, n)])
-    found = []
-    for chain in chains:
-        p, q, n = np.array(chain, np.int64).T
-        words, both, done = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n - SHINGLE + 1)], -1
-        for i in range(len(chain)):
-            shared = both[i + 1 :] - both[i]
-            either = (p + n)[i:] - p[i] + (q + n)[i:] - q[i] - 2 * (SHINGLE - 1) - shared
-            good = np.flatnonzero((shared >= similarity * either) & (words[i + 1 :] - words[i] >= run))
-            if len(good) and i + good[-1] > done:
-                done = int(i + good[-1])
-                found.append((int(p[i]), int(p[done] + n[done]), int(q[i]), int(q[done] + n[done])))
-    return found
-
-
-def aligned_passages(rows: DataFrame, kind: str, similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
-    """row, low, high (words), home, source and removed: passages that a row shares with the first occurrence of an anchor, in either's row."""
-    anchors = rows.where("words is not null").select("row", "key", F.explode(F.arrays_zip("values", "at")).alias("a")).select("row", "key", F.col("a.values").alias("value"), F.col("a.at").alias("at"))
-    order = F.struct(F.col("key").isNull().alias("none"), "key", "row", "at")
-    first = anchors.groupBy("value").agg(F.min(order).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).where("low != high").select("value", F.col("first.row").alias("home"), F.col("first.at").alias("place"))
-    pairs = anchors.select("value", "row", "at").join(first, "value").where("row != home").groupBy("row", "home").agg(F.collect_set(F.col("at") - F.col("place")).alias("shifts"))
-    texts = rows.where("words is not null").select("row", "key", "words")
-    source = texts.select(F.col("row").alias("home"), F.col("key").alias("source"), F.col("words").alias("other"))
-    both = pairs.join(source, "home").join(texts.select("row", "words"), "row").select("row", "home", "source", "shifts", "words", "other")
-    schema = f"row long, low int, high int, home long, source {kind}, removed boolean"
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            row, home, shifts = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
-            out, at = [], []
-            for i in range(len(row)):
-                a, o = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint16) for c in (4, 5))
-                for p, pe, q, qe in aligned(a, o, sorted(shifts[i]), similarity, run):
-                    out += [(row[i], p, pe, True), (home[i], q, qe, False)]
-                    at += [i, i]
-            r, low, high, gone = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), b.column(1).take(pa.array(at, pa.int64())), b.column(2).take(pa.array(at, pa.int64())), pa.array(gone, pa.bool_())], ["row", "low", "high", "home", "source", "removed"])
-
-    return both.mapInArrow(verify, schema)
-
-
-def covered_paragraphs(rows: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
-    """row, key, start, end, words, source and removed: the paragraphs that lie inside aligned passages (spans)."""
-    kept = spans.where("not removed").select("row", "low", "high", F.col("row").alias("home"), F.lit(None).cast(kind).alias("source"), "removed").distinct()
-    listed = spans.where("removed").unionByName(kept).groupBy("row").agg(F.collect_list(F.struct("low", "high", "home", "source", "removed")).alias("spans"))
-    given = rows.where("cuts is not null").select("row", "key", "cuts").join(listed, "row").select("row", "key", "cuts", "spans")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for row, key, cuts, spans in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                cuts = np.frombuffer(cuts, np.int32).reshape(-1, 4)
-                begin, end, best = cuts[:, 2], cuts[:, 2] + cuts[:, 3], {}
-                # overlapping passages count together; of those that hold most of a paragraph the first row is its source
-                for gone in (False, True):
-                    mine = sorted(((s["low"], s["high"], s["source"], s["home"]) for s in spans if s["removed"] == gone), key=lambda s: s[:2])
-                    merged: list[list] = []
-                    for low, high, *of in mine:
-                        if merged and low <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], high)
-                            merged[-1][2].append((low, high, *of))
-                        else:
-                            merged.append([low, high, [(low, high, *of)]])
-                    for low, high, parts in merged:
-                        for i in range(np.searchsorted(begin, low), np.searchsorted(end, high, "right")):
-                            if gone:
-                                near = lambda s: (max(s[0] - begin[i], 0) + max(end[i] - s[1], 0), s[2] is None, *(s[2:] if s[2] is not None else s[3:]))  # noqa: E731, B023
-                                best[i] = (min(parts, key=near)[2], True)
-                            else:
-                                best[i] = (key, False)
-                out += [(row, key, *map(int, (cuts[i, 0], cuts[i, 1], cuts[i, 3])), source, gone) for i, (source, gone) in best.items()]
-            columns = list(zip(*out, strict=True)) or [()] * 7
-            kinds = [pa.int64(), b.column(1).type, pa.int32(), pa.int32(), pa.int32(), b.column(1).type, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["row", "key", "start", "end", "words", "source", "removed"])
-
-    return given.mapInArrow(run, f"row long, key {kind}, start int, end int, words int, source {kind}, removed boolean")
-
-
-def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, run: int = RUN) -> DataFrame:
-    """One row per row of `df`: _key, n_words, passages.
-
-    passages lists the paragraphs that stand in other rows too, in order: start and end (bytes of the UTF-8
-    text), n (words), class (key and place of its first occurrence), occurrences, source (the key of the row
-    where it stays) and removed (whether that is another row). A paragraph counts if it lies in an aligned
-    passage of at least `run` equal words, or if the row shares that many words of paragraphs with the row
-    of their first occurrence; short common lines don't. A paragraph changed inside a passage counts with
-    it, as a class of its own. Repeats inside one row alone don't count. Null and empty texts and texts
-    under five words have none; rows with equal keys are rows of their own. Other columns aren't read.
+    placed = units.join(texts.select("row", "none", "key", "copies"), "row")
+    order = F.struct("none", "key", F.col("row").alias("row"), "at", "start", "n")
+    kinds = placed.groupBy("words").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.max("copies").alias("most"), F.sum("copies").alias("occurrences"), F.min(order).alias("first"))
+    kinds = written(kinds.withColumn("id", F.monotonically_increasing_id()))
+    links = durable(connected_components(verified_links(kinds, similarity, bands=bands)))
+    named = kinds.join(links, F.col("id") == F.col("node"), "left").withColumn("class", F.coalesce("root", "id"))
+    classes = named.groupBy("class").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("most").alias("most"), F.sum("occurrences").alias("occurrences"), F.min("first").alias("first"))
+    classes = classes.where("low != high or most > 1").select("class", "occurrences", F.col("first.row").alias("home"), F.col("first.key").alias("source"), F.col("first.start").alias("byte"), (F.col("first.at") + F.col("first.n")).alias("upto"))
+    known = written(named.select("words", "class").join(classes, "class"))
+    return written(units.join(known, "words").select("row", "at", "n", "start", "end", "class", "occurrences", "home", "source", "byte", "upto"))
+
+
+def repeated_passages(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row per row of `df`: _key, passages.
+
+    passages lists the paragraphs that stand in other rows too, in order: at and n (words before, words),
+    start and end (bytes of the UTF-8 text), class (key and first byte of its first occurrence),
+    occurrences, source (the key of the row where it stays) and removed (whether that is another place).
+    Paragraphs overlap. Repeats inside one row alone don't count. Null and empty texts and texts under five
+    words have none. Of rows with equal texts the one with the smallest key (a null key is the largest) counts
+    as the first, and in the others all is removed; rows that share the smallest key too are all but one
+    removed, whichever it is. Other columns aren't read. An empty table gives an empty result.
     """
-    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
-    docs = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").cast("binary").alias("_t"))
-    size = docs.agg(F.sum(F.octet_length("_t"))).head()[0] or 0
-    marks = spark.sparkContext.broadcast(bitmap_of(colliding_values(docs, size)))
-    rows = written(candidate_paragraphs(docs, kind, marks))
-    places = rows.where("h is not null").select("row", "key", "start", "end", "n", "h")
-    order = F.struct(F.col("key").isNull().alias("none"), "key", "row", "start")
-    texts = rows.where("h is not null").groupBy("h").agg(F.count("*").alias("n"), F.min("row").alias("low"), F.max("row").alias("high"), F.min(order).alias("first"), F.min("text").alias("text"))
-    texts = written(texts)
-    links = durable(connected_components(verified_links(texts, similarity)))
-    classed = texts.join(links, F.col("h") == F.col("node"), "left").select("h", F.coalesce("root", "h").alias("class"), "n", "low", "high", "first")
-    classes = classed.groupBy("class").agg(F.sum("n").alias("occurrences"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first")).where("low != high").drop("low", "high")
-    known = classed.select("h", "class").join(classes, "class")
-    found = places.join(known, "h")
-    removed = (F.col("row") != F.col("first.row")) | (F.col("start") != F.col("first.start"))
-    found = found.select("row", "start", "end", F.col("n").alias("words"), "class", "occurrences", F.col("first.row").alias("home"), F.col("first.key").alias("source"), F.col("first.start").alias("place"), removed.alias("removed"))
-    item = F.struct("start", "end", "words", "class", "occurrences", "source", "place", "removed")
-    # what a row shares with each source, and whether that is enough
-    shared = written(found.groupBy("row", "home").agg(F.sum("words").alias("words"), F.collect_list(item).alias("items")))
-    name = F.concat_ws(":", F.coalesce(F.col("p.source").cast("string"), F.lit("null")), F.col("p.place"))
-    removals = shared.where((F.col("row") != F.col("home")) & (F.col("words") >= run)).select("row", F.explode(F.filter("items", lambda p: p["removed"])).alias("p"))
-    kept = removals.select(F.col("p.class").alias("class")).distinct()
-    own = shared.where("row = home").select("row", F.explode("items").alias("p")).join(kept, F.col("p.class") == F.col("class"), "left_semi").select("row", "p")
-    by_words = removals.unionByName(own).select("row", "p.start", "p.end", F.col("p.words").alias("n"), name.alias("class"), "p.occurrences", "p.source", "p.removed", F.lit(0).alias("by"))
-    covered = covered_paragraphs(rows, written(aligned_passages(rows, kind, similarity, run)), kind)
-    names = shared.select("row", F.explode("items").alias("p")).select(F.col("row").alias("_row"), F.col("p.start").alias("_start"), name.alias("class"), F.col("p.occurrences").alias("occurrences"))
-    covered = covered.join(names, (F.col("row") == F.col("_row")) & (F.col("start") == F.col("_start")), "left")
-    alone = F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), F.col("start"))
-    by_place = covered.select("row", "start", "end", F.col("words").alias("n"), F.coalesce("class", alone).alias("class"), F.coalesce("occurrences", F.lit(1)).alias("occurrences"), "source", "removed", F.lit(1).alias("by"))
-    last = F.struct("start", "end", "n", "class", "occurrences", "source", "removed")
-    one = by_words.unionByName(by_place).groupBy("row", "start").agg(F.max_by(last, F.struct("removed", "by")).alias("p"))
-    listed = one.groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("passages"))
-    texts_of = rows.where("h is null").select("row", "key", "n_words").join(listed, "row", "left")
-    return texts_of.select(F.col("key").alias("_key"), "n_words", F.coalesce("passages", F.array()).alias("passages"))
+    kind = df.schema[key].dataType.simpleString()
+    docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("binary").alias("_t"))
+    docs = docs.select("key", "_t", F.xxhash64("_t").alias("a"), F.xxhash64(F.lit(1), "_t").alias("b"))
+    bits = slice_bits(docs.agg(F.sum(F.octet_length("_t"))).head()[0] or 0)
+    docs = docs.withColumn("tag", F.col("a").bitwiseAND((1 << TAG_BITS) - 1))
+    marks = written(colliding_values(docs, bits).groupBy("tag").agg(F.collect_set("value").alias("values")))
+    again = written(docs.join(marks.select("tag"), "tag", "left_semi").withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("key").isNull().alias("none"), "key", "row")
+    alike = again.groupBy("a", "b").agg(F.min(order).alias("f"), F.count("*").alias("copies"), F.first("tag").alias("tag"), F.first("_t").alias("text"))
+    texts = written(alike.where("text is not null").select("a", "b", F.col("f.row").alias("row"), F.col("f.none").alias("none"), F.col("f.key").alias("key"), "copies", "tag", "text").join(marks, "tag"))
+    units = written(colliding_paragraphs(texts, bits))
+    found = classed(units, texts, similarity)
+    longer = written(joined_paragraphs(texts.select("row", "text"), found))
+    every = found.unionByName(classed(longer, texts, similarity, LONG_BANDS).withColumn("class", -F.col("class") - 1))
+    gone = (F.col("row") != F.col("home")) | (F.col("at") >= F.col("upto"))  # paragraphs overlap: at home only what lies behind the first goes
+    name = F.concat_ws(":", F.coalesce(F.col("source").cast("string"), F.lit("null")), F.col("byte"))
+    item = F.struct("at", "n", "start", "end", name.alias("class"), "occurrences", "source", gone.alias("removed"))
+    listed = written(every.groupBy("row").agg(F.array_sort(F.collect_list(item)).alias("passages")))
+    homes = texts.select("a", "b", F.col("row").alias("home"), F.col("key").alias("mine")).join(listed.withColumnRenamed("row", "home"), "home")
+    rows = again.select("key", "row", "a", "b").join(homes, ["a", "b"], "left")
+    copied = F.transform("passages", lambda p: F.struct(p["at"].alias("at"), p["n"].alias("n"), p["start"].alias("start"), p["end"].alias("end"), p["class"].alias("class"), p["occurrences"].alias("occurrences"), F.when(p["removed"], p["source"]).otherwise(F.col("mine")).alias("source"), F.lit(True).alias("removed")))
+    rows = rows.select(F.col("key").alias("_key"), F.when(F.col("row") == F.col("home"), F.col("passages")).otherwise(copied).alias("passages"))
+    kinds = f"array<struct<at:int,n:int,start:int,end:int,class:string,occurrences:bigint,source:{kind},removed:boolean>>"
+    rows = rows.select("_key", F.coalesce("passages", F.array().cast(kinds)).alias("passages"))
+    alone = docs.select("key", "tag").join(marks.select("tag"), "tag", "left_anti").select(F.col("key").alias("_key"), F.array().cast(kinds).alias("passages"))
+    return rows.unionByName(alone)
+
+
+def words_in(passages) -> F.Column:
+    """Words that the passages (ordered by `at`) cover together."""
+    start = F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n"))
+    more = lambda s, p: F.struct(F.greatest(s["upto"], p["at"] + p["n"]).alias("upto"), (s["n"] + F.greatest(F.lit(0), p["at"] + p["n"] - F.greatest(s["upto"], p["at"]))).cast("long").alias("n"))
+    return F.aggregate(passages, start, more, lambda s: s["n"])
+
+
+def words_removed(spans: list[tuple[int, int]]) -> int:
+    """Words that (first, number) spans cover together."""
+    total, upto = 0, 0
+    for at, n in sorted(spans):
+        total += max(0, at + n - max(at, upto))
+        upto = max(upto, at + n)
+    return total
 
 
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """`text` without the (start, end) byte spans."""
+    """`text` without the (start, end) byte spans, which may overlap."""
     out, at = [], 0
     for start, end in sorted(spans):
-        out.append(text[at:start])
+        out.append(text[at:max(at, start)])
         at = max(at, end)
     return b"".join([*out, text[at:]])
 
@@ -542,19 +525,18 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
 def passages_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: every document with the passages it shares with others.
 
-    n_words, n_repeated and n_removed (words in shared paragraphs, and in those that go), n_links (shared
-    paragraphs), class_ids, source_ids (documents where the removed ones stay), class_id (the smallest
-    document in which any of its passages stands first, or itself) and repeated.
+    n_repeated and n_removed (words in shared paragraphs, and in those that go), n_links (shared paragraphs),
+    class_ids, source_ids (documents where the removed ones stay), class_id (the smallest document in which
+    any of its passages stands first, or itself) and repeated. Equal rows get equal results, but that one of
+    them keeps its passages; null texts have none.
     """
     found = repeated_passages(table(spark, sf_dir, "documents"))
-    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, p: a + p["n"])
     gone = F.filter("passages", lambda p: p["removed"])
     sources = F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["source"])))
     return found.select(
         F.col("_key").alias("doc_id"),
-        "n_words",
-        words("passages").alias("n_repeated"),
-        words(gone).alias("n_removed"),
+        words_in(F.col("passages")).alias("n_repeated"),
+        words_in(gone).alias("n_removed"),
         F.size("passages").cast("long").alias("n_links"),
         F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["class"]))).alias("class_ids"),
         F.array_sort(F.array_distinct(F.transform(gone, lambda p: p["source"]))).alias("source_ids"),
