@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, table, written
@@ -49,6 +49,8 @@ LONG_BANDS = 6
 SLICE_BYTES = 16 << 20
 FLUSH = 1 << 22
 GROUP = 512
+#: Counters of shingles (8 bytes each, sent to every task) that set the order of prefixes.
+SKETCH, SKETCH_PARTS = 1 << 17, 16
 GATHER = 1 << 17
 TAG_BITS = 40
 
@@ -383,9 +385,12 @@ def joined_paragraphs(texts: DataFrame, found: DataFrame, gap: int = GAP) -> Dat
 def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int = GROUP, bands: int = BANDS) -> DataFrame:
     """Distinct paragraphs (id, words) -> edges a, b whose components are those of all similar colliding pairs.
 
-    A band value with more than `group` paragraphs is cut by its shingles, rarest first: a paragraph is found
-    by some of its rarest and looks up some more, which no similar pair escapes. What still holds more than
-    `group` is cut into blocks, and each pair of blocks is compared in its own task.
+    Paragraphs of band values with more than `group` are compared by a prefix join instead: in an order of
+    all shingles a paragraph is found by some of its first and looks up some more, and smaller sets are
+    found by larger ones, which no similar pair escapes whatever the order. The order is that of a sketch of
+    `SKETCH` counters, rare shingles first, so that frequent lines don't bring together what isn't similar.
+    A shingle that still has more than `group` paragraphs is cut into blocks, and each pair of blocks is
+    compared in its own task.
     """
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -394,16 +399,34 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int
             rows = pd.DataFrame({"band": values.view(np.int64).ravel(), "id": np.repeat(b["id"].to_numpy(), bands)})
             yield rows[rows["band"] != -1].drop_duplicates()
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counted_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SKETCH, np.int64)
         for b in batches:
-            at, band, ids = 0, b["band"].to_numpy(), b["id"].to_numpy()
+            for layout in laid_out(b["words"], fold=False):
+                counts += np.bincount((layout.whole().shingles()[1] % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        for k, part in enumerate(np.split(counts, SKETCH_PARTS)):
+            if part.any():
+                yield pd.DataFrame({"part": [k], "counts": [part.tobytes()]})
+
+    def summed(part: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(c, np.int64) for c in part["counts"]], axis=0)
+        return pd.DataFrame({"part": part["part"][:1], "counts": [total.tobytes()]})
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at, ids = 0, b["id"].to_numpy()
             for layout in laid_out(b["words"], fold=False):
                 owner, token = layout.whole().shingles()
-                keep = np.r_[True, (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])]
+                keep = np.r_[True, (owner[1:] != owner[:-1]) | (token[1:] != token[:-1])][: len(owner)]
                 owner, token = owner[keep], token[keep]
+                order = np.lexsort((token, often.value[(token % np.uint64(SKETCH)).astype(np.int64)], owner))
+                owner, token = owner[order], token[order]
                 size = np.bincount(owner, minlength=len(layout.sizes))
-                who = band[at : at + len(layout.sizes)][owner]
-                yield pd.DataFrame({"band": who, "id": ids[at : at + len(layout.sizes)][owner], "token": mixed(token * _PRIME + who.view(np.uint64)).view(np.int64), "size": size[owner]})
+                rank = np.arange(len(owner)) - (np.cumsum(size) - size)[owner]
+                lengths = np.array([prefix_lengths(int(n), similarity) for n in size]).reshape(-1, 2)
+                mine = rank < lengths[owner, 1]
+                owner, token, rank = owner[mine], token[mine], rank[mine]
+                yield pd.DataFrame({"cell": token.view(np.int64), "id": ids[at : at + len(layout.sizes)][owner], "held": rank < lengths[owner, 0]})
                 at += len(layout.sizes)
 
     def verify(rows: list[tuple[int, int, bool, bytes]], own: bool) -> Iterator[tuple[int, int]]:
@@ -445,17 +468,17 @@ def verified_links(texts: DataFrame, similarity: float = SIMILARITY, group: int
     counted = rows.groupBy("band").agg(F.count("*").alias("m")).where("m > 1")
     shared = durable(rows.join(counted, "band"))
     cells = shared.where(F.col("m") <= group).select(F.col("band").alias("cell"), "id", F.lit(True).alias("held"), "m")
-    hot = shared.where(F.col("m") > group)
+    hot = shared.where(F.col("m") > group).select("id").distinct()
     if hot.head(1):
-        parts = written(hot.join(texts.select("id", "words"), "id").select("band", "id", "words").mapInPandas(tokens, "band long, id long, token long, size int"))
-        often = parts.groupBy("token").agg(F.count("*").alias("often"))
-        rank = F.row_number().over(Window.partitionBy("band", "id").orderBy("often", "token"))
-        ranked = parts.join(often, "token").withColumn("k", rank)
-        held = F.col("size") - F.ceil(F.col("size") * (2 * similarity / (1 + similarity)) - 1e-9) + 1
-        looks = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-        small = durable(ranked.where(F.col("k") <= looks).select(F.col("token").alias("cell"), "id", (F.col("k") <= held).alias("held")))
-        fewer = small.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1")
-        cells = cells.unionByName(small.join(fewer, "cell"))
+        crowd = written(texts.select("id", "words").join(hot, "id"))
+        parts = crowd.select("words").mapInPandas(counted_tokens, "part int, counts binary").groupBy("part").applyInPandas(summed, "part int, counts binary")
+        counts = np.zeros(SKETCH, np.int64)
+        for r in parts.collect():
+            counts[r["part"] * (SKETCH // SKETCH_PARTS) :][: SKETCH // SKETCH_PARTS] = np.frombuffer(r["counts"], np.int64)
+        often = texts.sparkSession.sparkContext.broadcast(counts)
+        small = written(crowd.mapInPandas(rarest, "cell long, id long, held boolean"))
+        fewer = small.groupBy("cell").agg(F.count("*").alias("m"), F.max("held").alias("any")).where("m > 1 and any")
+        cells = cells.unionByName(small.join(fewer.drop("any"), "cell"))
     cells = cells.withColumn("k", F.ceil(F.col("m") / group).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     spread = cells.join(texts.select("id", "words"), "id").select("cell", "id", "held", "words", "block", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
     spread = spread.select("cell", "id", "held", "words", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
