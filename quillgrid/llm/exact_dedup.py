@@ -1,15 +1,16 @@
 """Exact deduplication with counting quotient filters.
 
-Each partition builds filters over the 64-bit fingerprints of its texts: the high bits (quotient) say
-where in the table a run stands, the low bits (remainder) are stored in order, and a count goes with
-each remainder. Nothing of the fingerprint is lost, so filters merge exactly: the runs of a quotient
-are merged by sorted remainder and counts are added. Filters are cut by leading bits, and each slice is
-merged on its own, so a task holds one slice whatever the input. Fingerprints with a count above one
-send their rows to byte verification, where texts themselves are grouped.
-
-Which rows go there is decided by a bitmap of fixed size: a false hit only adds a row to verify, and
-none is missed. Equal texts are combined before they are shuffled, so a group that holds a third of
-all rows travels once per task.
+Each partition builds filters over the 64-bit fingerprints of its texts. A fingerprint's leading bits are
+its slice, the next its quotient, the rest its remainder. A filter holds, for 2**q quotients, two bits each
+(whether the quotient is used, and in unary where its run ends), the remainders in order, packed to their
+64 - slice - q bits, and counts for those that occur more than once: about 64 - slice - q + 3 bits for a
+fingerprint instead of 64 for a sorted list, and nothing is lost. Two filters merge by walking their runs
+in order: quotients may differ in width, remainders of a run are merged by size and counts are added.
+Filters of a slice are merged two by two, so a task holds one slice whatever the input.
+
+Fingerprints with a count above one send their rows to byte verification, where texts themselves are
+grouped; which rows, a join with the repeated fingerprints tells (a broadcast one up to `BOUND_ROWS`). Equal
+texts are combined before they are shuffled, so a group that holds a third of all rows travels once per task.
 """
 
 from __future__ import annotations
@@ -27,68 +28,138 @@ from .common import durable, from_text, table
 
 SLICE_ROWS = 1_000_000
 FLUSH_ROWS = 1 << 20
-BITMAP_BITS = 1 << 27
-BITMAP_SLICES = 1 << 10
+MOST_SLICES = 16
+#: Repeated fingerprints that are sent to every task at most.
+BOUND_ROWS = 1 << 20
+
+
+def pack_bits(values: np.ndarray, width: int) -> bytes:
+    """The low `width` bits of each value, side by side."""
+    if not width or not len(values):
+        return b""
+    bits = np.unpackbits(np.asarray(values, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=width)
+    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+
+
+def unpack_bits(data: bytes, width: int, n: int, start: int = 0) -> np.ndarray:
+    """`n` values of `width` bits from the value `start` on."""
+    out = np.zeros((n, 64), np.uint8)
+    if width and n:
+        first = start * width
+        raw = np.unpackbits(np.frombuffer(data, np.uint8, (first + n * width + 7) // 8 - first // 8, first // 8), bitorder="little")
+        out[:, :width] = raw[first % 8 : first % 8 + n * width].reshape(n, width)
+    return np.packbits(out, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 class CountingQuotientFilter:
-    """Sorted runs of remainders under quotients, each with a count; merges without loss."""
+    """Fingerprints of `bits` bits with counts: quotient bits say where a run stands, packed remainders what is in it.
+
+    used: a bit for each quotient. run_ends: a bit for each remainder, set where its run ends. remainders:
+    packed, in order. more: places of remainders that occur more than once, and counts: how often.
+    """
+
+    STEP = 1 << 16
+
+    def __init__(self, bits: int, quotient_bits: int, used: np.ndarray, run_ends: np.ndarray, remainders: bytes, more: np.ndarray, counts: np.ndarray):
+        self.bits, self.quotient_bits, self.used, self.run_ends, self.remainders, self.more, self.counts = bits, quotient_bits, used, run_ends, remainders, more, counts
+        self.width = bits - quotient_bits
 
-    def __init__(self, quotient_bits: int, occupied: np.ndarray, run_ends: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
-        self.quotient_bits, self.occupied, self.run_ends, self.remainders, self.counts = quotient_bits, occupied, run_ends, remainders, counts
+    def __len__(self) -> int:
+        return len(self.run_ends)
+
+    @classmethod
+    def build(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None, bits: int = 64) -> CountingQuotientFilter:
+        """From fingerprints in any order, each counted once or as often as `counts` says."""
+        fingerprints = np.asarray(fingerprints, np.uint64)
+        order = np.argsort(fingerprints, kind="stable")
+        fingerprints = fingerprints[order]
+        first = np.flatnonzero(np.r_[True, fingerprints[1:] != fingerprints[:-1]][: len(fingerprints)])
+        sums = np.diff(np.r_[first, len(order)]) if counts is None else np.add.reduceat(np.asarray(counts, np.int64)[order], first) if len(first) else np.zeros(0, np.int64)
+        return cls._of(fingerprints[first], sums, bits)
 
     @classmethod
-    def build(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None, quotient_bits: int | None = None) -> CountingQuotientFilter:
-        fingerprints = np.asarray(fingerprints, dtype=np.uint64)
-        counts = np.ones(len(fingerprints), np.int64) if counts is None else np.asarray(counts, np.int64)
-        if len(fingerprints):
-            order = np.argsort(fingerprints, kind="stable")
-            fingerprints, counts = fingerprints[order], counts[order]
-            first = np.flatnonzero(np.r_[True, fingerprints[1:] != fingerprints[:-1]])
-            counts, fingerprints = np.add.reduceat(counts, first), fingerprints[first]
-        if quotient_bits is None:
-            quotient_bits = max(1, int(len(fingerprints)).bit_length())
-        shift = np.uint64(64 - quotient_bits)
-        quotients = fingerprints >> shift
-        ends = np.r_[quotients[1:] != quotients[:-1], True] if len(quotients) else np.zeros(0, bool)
-        return cls(quotient_bits, quotients[ends], np.flatnonzero(ends), fingerprints & ((np.uint64(1) << shift) - np.uint64(1)), counts)
-
-    def fingerprints(self) -> np.ndarray:
-        """The fingerprints held, ascending: the filter is invertible."""
-        lengths = np.diff(np.r_[-1, self.run_ends]) if len(self.run_ends) else np.zeros(0, int)
-        return (np.repeat(self.occupied, lengths) << np.uint64(64 - self.quotient_bits)) | self.remainders
-
-    def merge(self, *others: CountingQuotientFilter) -> CountingQuotientFilter:
-        """Counts of all, their runs merged by sorted remainder in one go; the widest filter's quotients are kept."""
-        every = (self, *others)
-        return self.build(np.concatenate([f.fingerprints() for f in every]), np.concatenate([f.counts for f in every]), max(f.quotient_bits for f in every))
+    def _of(cls, fingerprints: np.ndarray, counts: np.ndarray, bits: int) -> CountingQuotientFilter:
+        """From distinct fingerprints in order."""
+        n = len(fingerprints)
+        quotient_bits = min(bits, n.bit_length())
+        width = bits - quotient_bits
+        quotients = (fingerprints >> np.uint64(width) if width < 64 else np.zeros(n, np.uint64)).astype(np.int64)
+        used = np.zeros(1 << quotient_bits, bool)
+        used[quotients] = True
+        more = np.flatnonzero(counts > 1)
+        return cls(bits, quotient_bits, used, np.r_[quotients[1:] != quotients[:-1], True][:n], pack_bits(fingerprints, width), more, counts[more])
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Fingerprints in order with their counts, STEP at a time: the filter is invertible."""
+        quotients = np.flatnonzero(self.used)
+        run = np.cumsum(self.run_ends) - self.run_ends
+        for k in range(0, len(self), self.STEP):
+            rest = unpack_bits(self.remainders, self.width, min(self.STEP, len(self) - k), k)
+            high = quotients[run[k : k + self.STEP]].astype(np.uint64)
+            counts = np.ones(len(rest), np.int64)
+            low, upto = np.searchsorted(self.more, [k, k + len(rest)])
+            counts[self.more[low:upto] - k] = self.counts[low:upto]
+            yield (high << np.uint64(self.width) if self.width < 64 else high) | rest, counts
+
+    def merge(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        """The counts of both: two sorted runs are walked side by side, a step at a time."""
+        streams, held = [self.parts(), other.parts()], [None, None]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        held = [next(s, none) for s in streams]
+        while len(held[0][0]) and len(held[1][0]):
+            upto = min(held[0][0][-1], held[1][0][-1])  # all of both up to here is at hand
+            cuts = [int(np.searchsorted(f, upto, "right")) for f, _ in held]
+            out.append(_added(*(x[:c] for (f, n), c in zip(held, cuts, strict=True) for x in (f, n))))
+            held = [(f[c:], n[c:]) if c < len(f) else next(s, none) for (f, n), c, s in zip(held, cuts, streams, strict=True)]
+        for k in (0, 1):
+            if len(held[k][0]):
+                out += [held[k], *streams[k]]
+        return self._of(*(np.concatenate([x[k] for x in out]) if out else none[k] for k in (0, 1)), self.bits)
 
     def count(self, fingerprint: int) -> int:
-        shift = 64 - self.quotient_bits
-        run = int(np.searchsorted(self.occupied, np.uint64(fingerprint >> shift)))
-        if run == len(self.occupied) or int(self.occupied[run]) != fingerprint >> shift:
+        quotient, rest = fingerprint >> self.width, fingerprint & ((1 << self.width) - 1)
+        if quotient >= len(self.used) or not self.used[quotient]:
             return 0
-        low, high = (int(self.run_ends[run - 1]) + 1 if run else 0), int(self.run_ends[run]) + 1
-        at = low + int(np.searchsorted(self.remainders[low:high], np.uint64(fingerprint & ((1 << shift) - 1))))
-        return int(self.counts[at]) if at < high and int(self.remainders[at]) == fingerprint & ((1 << shift) - 1) else 0
+        run, ends = int(self.used[:quotient].sum()), np.flatnonzero(self.run_ends)
+        low, high = (int(ends[run - 1]) + 1 if run else 0), int(ends[run]) + 1
+        at = low + int(np.searchsorted(held := unpack_bits(self.remainders, self.width, high - low, low), np.uint64(rest)))
+        if at == high or int(held[at - low]) != rest:
+            return 0
+        k = int(np.searchsorted(self.more, at))
+        return int(self.counts[k]) if k < len(self.more) and self.more[k] == at else 1
+
+    def repeated(self) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints with a count above one, and their counts."""
+        both = [(f[n > 1], n[n > 1]) for f, n in self.parts()]
+        return np.concatenate([np.zeros(0, np.uint64), *(f for f, _ in both)]), np.concatenate([np.zeros(0, np.int64), *(n for _, n in both)])
 
     def dump(self) -> bytes:
-        """Header, run lengths by quotient, remainders, counts (one byte each, larger ones apart)."""
-        big = np.flatnonzero(self.counts > 255)
-        head = np.array([self.quotient_bits, len(self.occupied), len(self.remainders), len(big)], np.int64)
-        small = np.minimum(self.counts, 255).astype(np.uint8)
-        return b"".join(a.tobytes() for a in (head, self.occupied, self.run_ends.astype(np.int64), self.remainders, small, big, self.counts[big]))
+        head = np.array([self.bits, self.quotient_bits, len(self), len(self.more)], np.int64)
+        return b"".join((head.tobytes(), np.packbits(self.used).tobytes(), np.packbits(self.run_ends).tobytes(), self.more.astype(np.uint32).tobytes(), self.counts.astype(np.int64).tobytes(), self.remainders))
 
     @classmethod
     def load(cls, data: bytes) -> CountingQuotientFilter:
-        bits, runs, n, big = (int(x) for x in np.frombuffer(data, np.int64, 4))
-        at, parts = 32, []
-        for kind, size in ((np.uint64, runs), (np.int64, runs), (np.uint64, n), (np.uint8, n), (np.int64, big), (np.int64, big)):
-            parts.append(np.frombuffer(data, kind, size, at))
-            at += size * np.dtype(kind).itemsize
-        counts = parts[3].astype(np.int64)
-        counts[parts[4]] = parts[5]
-        return cls(bits, parts[0], parts[1], parts[2], counts)
+        bits, quotient_bits, n, more = (int(x) for x in np.frombuffer(data, np.int64, 4))
+        at, size = 32, 1 << quotient_bits
+        used = np.unpackbits(np.frombuffer(data, np.uint8, (size + 7) // 8, at), count=size).astype(bool)
+        at += (size + 7) // 8
+        ends = np.unpackbits(np.frombuffer(data, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+        at += (n + 7) // 8
+        places = np.frombuffer(data, np.uint32, more, at).astype(np.int64)
+        counts = np.frombuffer(data[at + 4 * more : at + 12 * more], np.int64)
+        return cls(bits, quotient_bits, used, ends, data[at + 12 * more :], places, counts)
+
+
+def _added(f: np.ndarray, n: np.ndarray, g: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending lists of distinct fingerprints with counts as one."""
+    at = np.searchsorted(f, g)
+    both = at < len(f)
+    both[both] = f[at[both]] == g[both]
+    n = n.copy()
+    n[at[both]] += m[both]
+    new = ~both
+    return np.insert(f, at[new], g[new]), np.insert(n, at[new], m[new])
 
 
 def digests(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -112,15 +183,16 @@ def _needed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def repeated_fingerprints(rows: DataFrame, n_rows: int) -> DataFrame:
     """fp, n: fingerprints of `rows` (column fp) that occur more than once, by merging filters of partitions."""
-    bits = max(0, min(20, (n_rows // SLICE_ROWS).bit_length()))
+    slices = max(0, min(MOST_SLICES, (n_rows // SLICE_ROWS).bit_length()))
+    width = 64 - slices
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def filters(held: list[np.ndarray]) -> pd.DataFrame:
-            whole = CountingQuotientFilter.build(np.concatenate(held).view(np.uint64))
-            fps = whole.fingerprints()
-            cuts = (fps >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(fps), np.int64)
+            fps = np.sort(np.concatenate(held).view(np.uint64))
+            cuts = (fps >> np.uint64(width)).astype(np.int64) if slices else np.zeros(len(fps), np.int64)
             edges = np.flatnonzero(np.r_[True, cuts[1:] != cuts[:-1], True])
-            out = [(int(cuts[a]), CountingQuotientFilter.build(fps[a:b], whole.counts[a:b]).dump()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            inside = fps & np.uint64((1 << width) - 1)
+            out = [(int(cuts[a]), CountingQuotientFilter.build(inside[a:b], bits=width).dump()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             return pd.DataFrame(out, columns=["slice", "filter"])
 
         held, size = [], 0
@@ -134,52 +206,52 @@ def repeated_fingerprints(rows: DataFrame, n_rows: int) -> DataFrame:
             yield filters(held)
 
     def merge(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = CountingQuotientFilter.build(np.zeros(0, np.uint64))
+        ranks: list[CountingQuotientFilter | None] = []  # the k-th is merged from 2**k filters
         for b in batches:
-            whole = whole.merge(*map(CountingQuotientFilter.load, b["filter"]))
-        more = whole.counts > 1
-        yield pd.DataFrame({"fp": whole.fingerprints()[more].view(np.int64), "n": whole.counts[more]})
+            for data in b["filter"]:
+                one, k = CountingQuotientFilter.load(bytes(data)), 0
+                while k < len(ranks) and ranks[k] is not None:
+                    one, ranks[k], k = ranks[k].merge(one), None, k + 1
+                ranks[k:k + 1] = [one]
+        whole = CountingQuotientFilter.build(np.zeros(0, np.uint64), bits=width)
+        for f in ranks:
+            whole = whole.merge(f) if f is not None else whole
+        fps, counts = whole.repeated()
+        yield pd.DataFrame({"fp": (fps | (np.uint64(key[0]) << np.uint64(width)) if slices else fps).view(np.int64), "n": counts})
 
     return rows.select("fp").mapInPandas(build, "slice long, filter binary").groupBy("slice").applyInPandas(merge, "fp long, n long")
 
 
-def bitmap_of(fps: DataFrame, bits: int = BITMAP_BITS, slices: int = BITMAP_SLICES) -> np.ndarray:
-    """A bitmap of `bits` bits in which each fp of `fps` is set; its size doesn't depend on the rows."""
-    width = bits // slices
+def suspects(df: DataFrame, repeated: DataFrame, key: str, text: str, bound: int = BOUND_ROWS) -> DataFrame:
+    """_k and t (normalised bytes) of the rows whose fingerprint is among `repeated`.
 
-    def fill(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(width, np.uint8)
-        for b in batches:
-            held[b["bit"].to_numpy(np.int64)] = 1
-        yield pd.DataFrame({"slice": [key[0]], "bits": [np.packbits(held, bitorder="little").tobytes()]})
+    Up to `bound` fingerprints (8 bytes each) are sent to every task, so that no other text is moved; more
+    are joined by shuffle, with the same result.
+    """
+    n, shared = repeated.count(), None
+    if n <= bound:
+        shared = df.sparkSession.sparkContext.broadcast(np.sort(np.array([r["fp"] for r in repeated.toLocalIterator()], np.int64)))
+
+    def run(texts: list[bytes | None]) -> Iterator[tuple[int, bytes | None]]:
+        lowered = [(t or b"").lower() for t in texts]
+        fps = np.array([signed(xxhash.xxh3_64_intdigest(t)) for t in lowered], np.int64)
+        wanted = np.ones(len(fps), bool) if shared is None else np.isin(fps, shared.value)
+        for fp, t, w in zip(fps.tolist(), lowered, wanted.tolist(), strict=True):
+            yield fp, t if w else None
 
-    at = F.pmod(F.col("fp"), F.lit(bits))
-    parts = fps.select(F.floor(at / width).cast("int").alias("slice"), (at % width).cast("int").alias("bit")).groupBy("slice").applyInPandas(fill, "slice int, bits binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        out[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    read = from_text(_needed(df, key, text), "_t", "fp long, t binary", run, keep_text=False).where("t is not null")
+    return (read if shared is not None else read.join(repeated, "fp", "left_semi")).select("_k", "t")
 
 
-def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text", bound: int = BOUND_ROWS) -> DataFrame:
     """One row per row of `df`: key, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when their UTF-8 bytes are, after lower-casing A-Z; null counts as empty. The row
     with the largest key stays (null keys are smaller than any; rows that share the largest key all
     count as kept). Other columns of `df` aren't read; an empty table gives an empty result.
     """
-    spark = df.sparkSession
     rows = durable(digests(df, key, text))
-    bits = spark.sparkContext.broadcast(bitmap_of(repeated_fingerprints(rows, rows.count())))
-
-    def suspects(texts: list[bytes | None]) -> Iterator[tuple[bytes | None]]:
-        marks, size = bits.value, len(bits.value) * 8
-        for t in texts:
-            t = (t or b"").lower()
-            at = signed(xxhash.xxh3_64_intdigest(t)) % size
-            yield (t if marks[at >> 3] >> (at & 7) & 1 else None,)
-
-    again = from_text(_needed(df, key, text), "_t", "t binary", suspects, keep_text=False).where("t is not null")
+    again = suspects(df, durable(repeated_fingerprints(rows, rows.count()).select("fp")), key, text, bound)
     same = again.groupBy("t").agg(F.max("_k").alias("keep"), F.count("*").alias("n")).where("n > 1").select(F.unhex(F.sha2("t", 256)).alias("sha"), "keep", "n")
     joined = rows.join(same, "sha", "left")
     keep = F.when(F.col("n").isNull(), F.col("_k")).otherwise(F.col("keep"))

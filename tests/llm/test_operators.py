@@ -101,18 +101,43 @@ def test_taken_words_are_near_targets(spark):
 # exact deduplication
 def test_exact_groups_are_their_sql(spark):
     same(exact_dedup.exact_dedup_query(spark, SF), exact_dedup.EXACT_DEDUP_SQL)
+    same(exact_dedup.exact_groups(table(spark, SF, "documents"), bound=0), exact_dedup.EXACT_DEDUP_SQL)
+
+
+def counts_of(f):
+    return {int(x): int(n) for fps, counts in f.parts() for x, n in zip(fps, counts, strict=True)}
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 40)), st.lists(st.integers((1 << 64) - 20, (1 << 64) - 1)), st.integers(1, 12))
-def test_quotient_filters_merge_without_loss(a, b, bits):
-    build = exact_dedup.CountingQuotientFilter.build
-    one = exact_dedup.CountingQuotientFilter.load(build(np.array(a, np.uint64), quotient_bits=bits).dump())
-    both = one.merge(build(np.array(b + a * 300, np.uint64)))
-    expected = collections.Counter(a) + collections.Counter(b + a * 300)
-    assert dict(zip(both.fingerprints().tolist(), both.counts.tolist(), strict=True)) == dict(sorted(expected.items()))
-    again = exact_dedup.CountingQuotientFilter.load(both.dump())
-    assert all(again.count(f) == n for f, n in expected.items()) and again.count(1 << 63) == 0
+@given(st.lists(st.integers(0, 40)), st.lists(st.integers((1 << 60) - 20, (1 << 60) - 1)), st.sampled_from([60, 61, 64]), st.integers(1, 9))
+def test_quotient_filters_merge_without_loss(a, b, bits, step):
+    exact_dedup.CountingQuotientFilter.STEP, usual = step, exact_dedup.CountingQuotientFilter.STEP
+    try:
+        build, load = exact_dedup.CountingQuotientFilter.build, exact_dedup.CountingQuotientFilter.load
+        one = load(build(np.array(a, np.uint64), bits=bits).dump())
+        other = build(np.array(b + a * 300, np.uint64), bits=bits)
+        expected = dict(sorted((collections.Counter(a) + collections.Counter(b + a * 300)).items()))
+        for both in (one.merge(other), other.merge(one), load(one.merge(other).dump())):
+            assert counts_of(both) == expected
+            assert all(both.count(f) == n for f, n in expected.items()) and both.count(1 << 50) == 0
+            assert dict(zip(*(x.tolist() for x in both.repeated()), strict=True)) == {f: n for f, n in expected.items() if n > 1}
+    finally:
+        exact_dedup.CountingQuotientFilter.STEP = usual
+
+
+def test_a_filter_is_smaller_than_its_sorted_fingerprints():
+    fps = np.random.default_rng(1).integers(0, 1 << 54, 200_000, dtype=np.uint64)
+    f = exact_dedup.CountingQuotientFilter.build(np.r_[fps, fps[:1000]], bits=54)
+    assert len(f.dump()) < 0.65 * 8 * len(fps)
+    assert counts_of(f) == dict(collections.Counter(np.r_[fps, fps[:1000]].tolist()))
+
+
+def test_repeated_fingerprints_of_slices(spark):
+    rows = [(int(x),) for x in np.random.default_rng(2).integers(-(1 << 62), 1 << 62, 3000)]
+    df = spark.createDataFrame(rows + rows[:500] + rows[:100], "fp long").repartition(7)
+    for n_rows in (3600, 5_000_000):  # one slice, and as many as for more rows
+        got = {r.fp: r.n for r in exact_dedup.repeated_fingerprints(df, n_rows).collect()}
+        assert got == {rows[k][0]: 3 if k < 100 else 2 for k in range(500)}
 
 
 # near duplicates
