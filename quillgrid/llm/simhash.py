@@ -216,14 +216,15 @@ def near_duplicate_groups(df: DataFrame, key: str = "doc_id", text: str = "text"
 def one_of_each_group(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """The row with the smallest key of each near-duplicate group; the columns of `df`.
 
-    A null key counts as the largest. Of rows that repeat the smallest key, those with the least hash of
-    the text are ties, and one of them stays.
+    A null key counts as the largest. Of rows that repeat the smallest key, the one with the least hash of
+    the text stays, then with the least hash of all columns but maps; only rows equal in these are
+    interchangeable.
     """
     order = F.struct(F.col("_key").isNull().alias("_null"), "_key", "_mark")
     kept = near_duplicate_groups(df, key, text, radius).groupBy("class").agg(F.min(order).alias("k")).select("k._key", "k._mark").distinct()
     rows = packed(df, F.col(f"`{key}`").alias("_id"), F.xxhash64(F.col(f"`{text}`")).alias("_at"))
     both = rows.join(kept, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_at") == F.col("_mark")))
-    first = Window.partitionBy("_key", "_mark").orderBy("_at")
+    first = Window.partitionBy("_key", "_mark").orderBy(F.xxhash64(*[F.col("_all").getField(c) for c, kind in df.dtypes if "map<" not in kind]))
     return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_all.*")
 
 
