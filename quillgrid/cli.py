@@ -46,8 +46,17 @@ def parser() -> argparse.ArgumentParser:
 def report(collection: Collection, path: str, formats: tuple[str, ...]) -> None:
     stored = Collection.open(collection.spark, path)
     stored.stats.show(truncate=False)
-    store.compare_formats(stored.dictionary, stored.stats, path, formats).show(truncate=False)
-    sizes.packing_stats(stored.packed).show(truncate=False)
+    compared = store.compare_formats(stored.dictionary, stored.stats, path, formats)
+    compared.show(truncate=False)
+    store.format_ratio(compared).show(truncate=False)
+    packing = sizes.packing_stats(stored.packed)
+    packing.show(truncate=False)
+    for form in formats:
+        if form in store.FORMATS:
+            print(f"packed {form}: {store.save_packed(stored.packed, stored.dictionary, stored.stats, packing, path, form)} bytes")
+    report = stored.size_report()
+    report.show(truncate=False)
+    sizes.ratios(report).show(truncate=False)
 
 
 def run_search(spark: SparkSession, args: argparse.Namespace) -> int:

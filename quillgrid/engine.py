@@ -23,8 +23,8 @@ class Collection:
     """Indexes over documents (doc, text) or (doc, words).
 
     Each index is a DataFrame; nothing is computed before a result is asked for. `open` gives the same
-    object over the Parquet folders that `save` wrote, and `build_once` writes tokens first so that every
-    index reads them instead of tokenizing again.
+    object over the Parquet folders that `save` wrote; `save` tokenizes once and makes every index from the
+    words it has written.
     """
 
     def __init__(self, docs: DataFrame | None, tokenizer: str | Tokenizer = "plain", stored: str | None = None, spark: SparkSession | None = None):
@@ -112,9 +112,11 @@ class Collection:
         return indexes.decompressed_postings(coded).join(self.doc_ids, "id").select("doc")
 
     def save(self, path: str, names: tuple[str, ...] | None = None) -> None:
-        """Write indexes under `path`; all by default. Dependent indexes are read back from the files already written."""
+        """Write indexes under `path`; all by default. Words are written first, and dependent indexes read back the files already written."""
         order = ("coordinates", "stats", "postings", "universe", "dictionary", "doc_ids", "matrix", "bigrams", "compressed", "suffixes", "rotations", "trigrams")
-        written = Collection(self.docs, self.tokenizer, spark=self.spark)
+        words = self.docs if "words" in self.docs.columns else indexes.written_words(self.docs, self.tokenizer)
+        store.save_index(words, path, "words")
+        written = Collection(store.load_index(self.spark, path, "words"), self.tokenizer, spark=self.spark)
         for name in order:
             if names is None or name in names:
                 store.save_index(getattr(written, name), path, name)
@@ -157,7 +159,7 @@ class Collection:
         return wildcard.search_with_stats(query, lambda q: self.search(q, "wildcard", mode))
 
     def size_report(self) -> DataFrame:
-        """structure, bytes of every structure."""
+        """structure, bytes of every structure; wildcard_engine is the sum of the four that wildcard search holds."""
         found = [
             sizes.dictionary_bytes(self.dictionary, self.packed),
             sizes.matrix_bytes(self.dictionary, self.universe),
@@ -172,4 +174,8 @@ class Collection:
         out = found[0]
         for part in found[1:]:
             out = out.unionByName(part)
-        return out
+        return sizes.with_engine(out)
+
+    def ratios(self) -> DataFrame:
+        """name, ratio: coordinate over inverted, and compressed inverted over matrix."""
+        return sizes.ratios(self.size_report())

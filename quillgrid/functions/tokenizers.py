@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 BOOK_WORD = r"(?U)\b[а-яёА-ЯЁa-zA-Z]{3,}\b"
 WHITE_SPACE = r"\p{IsWhite_Space}+"
-NOT_ALPHANUMERIC = r"[^\p{IsAlphabetic}\p{N}]"
+NEITHER = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]"
 MIN_BYTES = 3
 
 Tokenizer = Callable[[Column], Column]
@@ -21,9 +21,11 @@ def book_words(text: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    """Space-separated words without their non-alphanumeric characters, if at least three bytes remain."""
-    bare = F.transform(F.split(text, WHITE_SPACE), lambda w: F.lower(F.regexp_replace(w, NOT_ALPHANUMERIC, "")))
-    return F.filter(bare, lambda w: F.octet_length(w) >= MIN_BYTES)
+    """Space-separated words without their non-alphanumeric characters, if at least three bytes remain.
+
+    The whole text is cleaned and lowered in one go; only the length is looked at word by word.
+    """
+    return F.filter(F.split(F.lower(F.regexp_replace(text, NEITHER, "")), WHITE_SPACE), lambda w: F.octet_length(w) >= MIN_BYTES)
 
 
 TOKENIZERS: dict[str, Tokenizer] = {"plain": plain_words, "book": book_words}

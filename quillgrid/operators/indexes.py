@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import decoded_numbers, vb_hex, vb_size
@@ -13,6 +14,7 @@ from ..functions.tokenizers import Tokenizer, resolve
 MATRIX_BLOCK = 32
 POSTING_BLOCK = 1 << 16
 RANK_PREFIX = 3
+RANK_CELLS, RANK_SAMPLE = 256, 8192
 
 
 def beside(*rows: DataFrame) -> DataFrame:
@@ -71,13 +73,37 @@ def universe(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc").distinct()
 
 
-def doc_ids(docs: DataFrame, prefix: int = RANK_PREFIX) -> DataFrame:
+def rank_cells(named: DataFrame, cells: int = RANK_CELLS, sample: int = RANK_SAMPLE) -> list[str]:
+    """Docs, ascending, that cut the table into about equal cells: quantiles of the `sample` docs with the least hashes."""
+    some = sorted((r["doc"] for r in named.orderBy(F.xxhash64("doc"), "doc").limit(sample).collect() if r["doc"] is not None), key=str.encode)
+    return sorted({some[k * len(some) // cells] for k in range(1, cells)}, key=str.encode) if some else []
+
+
+def ranked_head(cuts: list[str], prefix: int, first: int = 0) -> Column:
+    """cell and head of a doc: its cell by comparisons, and `prefix` characters more than all docs of the cell share."""
+    if not cuts:
+        return F.struct(F.lit(first).alias("cell"), F.substring("doc", 1, prefix).alias("head"))
+
+    def part(low: int, high: int) -> Column:
+        if low == high:
+            shared = len(os.path.commonprefix([cuts[low - 1], cuts[low]])) if 0 < low < len(cuts) else 0
+            return F.struct(F.lit(first + low).alias("cell"), F.substring("doc", 1, shared + prefix).alias("head"))
+        middle = (low + high) // 2
+        return F.when(F.col("doc") < cuts[middle], part(low, middle)).otherwise(part(middle + 1, high))
+
+    return part(0, len(cuts))
+
+
+def doc_ids(docs: DataFrame, prefix: int = RANK_PREFIX, cells: int = RANK_CELLS) -> DataFrame:
     """doc, id: the rank of each distinct doc in byte order, from 0.
 
-    Ranks are taken inside each prefix of `prefix` characters and shifted by the counts of the prefixes
-    before, so no task sorts all documents; only the table of prefixes goes through one.
+    Docs are cut into cells by quantiles of a bounded sample, and a cell into heads, by the characters that
+    follow what all its docs begin with; so names that all begin alike (`doc_0`, URLs) are spread too. Ranks
+    are taken inside each head and shifted by the counts of those before: no task sorts all documents,
+    only the table of heads goes through one.
     """
-    named = docs.select("doc").distinct().withColumn("_head", F.substring("doc", 1, prefix))
+    named = docs.select("doc").distinct()
+    named = named.withColumn("_head", ranked_head(rank_cells(named, cells), prefix))
     before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
     starts = named.groupBy("_head").count().select("_head", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     ranked = named.withColumn("_n", F.row_number().over(Window.partitionBy("_head").orderBy("doc")) - 1)
@@ -161,6 +187,16 @@ def decompressed_postings(compressed: DataFrame) -> DataFrame:
     return blocks.select("term", "block", "before", F.posexplode("d").alias("n", "delta")).select("term", (F.col("before") + F.sum("delta").over(upto)).alias("id"))
 
 
-def block_dictionary(postings: DataFrame) -> DataFrame:
-    """The large-collection build's dictionary: term, frequency (= number of documents), documents sorted."""
-    return postings.groupBy("term").agg(F.count("*").alias("frequency"), F.sort_array(F.collect_list("doc")).alias("documents"))
+def block_dictionary(postings: DataFrame, ids: DataFrame, block: int = POSTING_BLOCK) -> DataFrame:
+    """The large-collection build's dictionary: term, block, frequency (= number of documents of the term), documents sorted.
+
+    A frequent term's documents are cut into blocks of document numbers; in order they are its whole list.
+    """
+    cut = postings.join(ids, "doc").withColumn("block", F.floor(F.col("id") / block))
+    blocks = cut.groupBy("term", "block").agg(F.count("*").alias("_n"), F.sort_array(F.collect_list("doc")).alias("documents"))
+    return blocks.select("term", "block", F.sum("_n").over(Window.partitionBy("term")).alias("frequency"), "documents")
+
+
+def written_words(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> DataFrame:
+    """doc, words, n_bytes: what all other indexes can be made from without tokenizing again."""
+    return docs.select("doc", resolve(tokenizer)(F.col("text")).alias("words"), F.octet_length("text").alias("n_bytes"))

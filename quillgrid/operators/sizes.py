@@ -98,6 +98,23 @@ def packing_stats(packed: DataFrame) -> DataFrame:
     return whole.withColumn("ratio", F.when(F.col("original_bytes") > 0, F.col("packed_bytes") / F.col("original_bytes")).otherwise(1.0))
 
 
+ENGINE = ("inverted", "suffix", "rotation", "trigram")
+
+
+def with_engine(report: DataFrame) -> DataFrame:
+    """`report` (structure, bytes) with the row wildcard_engine; each structure is measured once."""
+    both = F.when(F.col("structure").isin(*ENGINE), F.array("structure", F.lit("wildcard_engine"))).otherwise(F.array("structure"))
+    return report.select(F.explode(both).alias("structure"), "bytes").groupBy("structure").agg(F.sum("bytes").alias("bytes"))
+
+
+def ratios(report: DataFrame) -> DataFrame:
+    """name, ratio: of bytes in a size report."""
+    of = lambda name: F.max(F.when(F.col("structure") == name, F.col("bytes")))
+    pairs = (("coordinate", "inverted"), ("compressed_inverted", "matrix"), ("inverted", "matrix"))
+    one = report.agg(*[(of(a) / of(b)).alias(f"{a}/{b}") for a, b in pairs])
+    return one.select(F.explode(F.create_map(*[x for a, b in pairs for x in (F.lit(f"{a}/{b}"), F.col(f"`{a}/{b}`"))])).alias("name", "ratio"))
+
+
 def ratio(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
     """One row: name and bytes of a over bytes of b."""
     return beside(a.select(F.col("bytes").alias("a")), b.select(F.col("bytes").alias("b"))).select(F.lit(name).alias("name"), (F.col("a") / F.col("b")).alias("ratio"))

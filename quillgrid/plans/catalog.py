@@ -70,7 +70,11 @@ add(
     lambda s, d: inspect_schema(s.read.parquet(f"{d}/documents.parquet")),
     "SELECT * FROM (VALUES (0, 'doc_id', 'bigint'), (1, 'text', 'string'), (2, 'lang', 'string'), (3, 'source', 'string'), (4, 'n_chars', 'bigint')) AS t(column_no, column_name, column_type)",
 )
-add("parquet_inspect_rows", lambda s, d: inspect_rows(s.read.parquet(f"{d}/documents.parquet")), None)
+add(
+    "parquet_inspect_rows",
+    lambda s, d: inspect_rows(s.read.parquet(f"{d}/documents.parquet")),
+    "SELECT doc_id, CASE WHEN strlen(text) > 100 THEN left(text, 97) || '...' ELSE text END AS text, lang, source, n_chars FROM documents LIMIT 3",
+)
 add("tokenize_plain", lambda s, d: collection(s, d).tokens, with_tokens("SELECT doc, pos::INTEGER AS pos, term FROM tokens"))
 add("tokenize_book", lambda s, d: collection(s, d, "book").tokens, with_tokens("SELECT doc, pos::INTEGER AS pos, term FROM tokens", BOOK))
 
@@ -89,8 +93,8 @@ add("terms_by_frequency", lambda s, d: indexes.terms_by_frequency(collection(s,
 add("term_entry", lambda s, d: collection(s, d).term_entry("the"), with_tokens("SELECT term, count(*) AS tf, count(DISTINCT doc) AS df FROM tokens WHERE term = 'the' GROUP BY term"))
 add(
     "block_dictionary",
-    lambda s, d: indexes.block_dictionary(collection(s, d).postings),
-    with_tokens("SELECT term, count(*) AS frequency, list(doc ORDER BY doc) AS documents FROM postings GROUP BY term"),
+    lambda s, d: (lambda c: indexes.block_dictionary(c.postings, c.doc_ids, 100))(collection(s, d)),
+    with_tokens("SELECT term, id // 100 AS block, sum(count(*)) OVER (PARTITION BY term)::BIGINT AS frequency, list(doc ORDER BY doc) AS documents FROM postings JOIN ids USING (doc) GROUP BY term, id // 100"),
 )
 
 # indexes
@@ -250,9 +254,56 @@ add(
     lambda s, d: sizes.compression_stats(indexes.compressed_sizes(deltas(s, d))),
     with_tokens(f"SELECT 4 * count(*) AS original_bytes, sum({VB_SIZE})::BIGINT AS compressed_bytes, sum({VB_SIZE}) / (4 * count(*)) AS ratio FROM deltas"),
 )
-add("front_pack", lambda s, d: collection(s, d).packed.drop("stored"), None)
-add("front_pack_sizes", lambda s, d: sizes.packing_stats(collection(s, d).packed), None)
-add("index_sizes", lambda s, d: collection(s, d).size_report(), None)
+# A block starts where the one before ends; which terms share a prefix is known for every start beforehand. The chains of
+# all first letters are followed at once.
+PACKED = """, named AS (SELECT term, row_number() OVER (ORDER BY term) AS i, left(term, 1) AS c FROM vocab),
+pair AS (SELECT a.i, k, a.term, len(list_filter(range(1, least(length(a.term), length(b.term)) + 1), lambda l: left(a.term, l) = left(b.term, l))) AS l
+  FROM (SELECT *, unnest(range(1, 16)) AS k FROM named) a JOIN named b ON b.i = a.i + a.k AND a.c = b.c),
+best AS (SELECT i, k, l FROM pair QUALIFY row_number() OVER (PARTITION BY i ORDER BY k * strlen(left(term, l)) DESC, k) = 1),
+jump AS MATERIALIZED (SELECT n.i, n.c, coalesce(k, 0) AS k, coalesce(l, 0) AS l FROM named n LEFT JOIN best USING (i)),
+chain AS (SELECT min(i) AS i, c FROM named GROUP BY c
+  UNION ALL SELECT t.i, t.c FROM chain JOIN jump j ON j.i = chain.i JOIN jump t ON t.i = j.i + j.k + 1 AND t.c = chain.c),
+member AS (SELECT i AS s, l, unnest(range(0, k + 1)) AS m FROM chain JOIN jump USING (i)),
+cut AS (SELECT term, n.i, s, m, l, strlen(term) AS whole, strlen(left(term, l)) AS prefix FROM member JOIN named n ON n.i = s + m),
+stored AS (SELECT *, CASE WHEN l = 0 THEN whole WHEN m = 0 THEN whole ELSE whole - prefix END AS size FROM cut),
+placed AS (SELECT *, sum(size) OVER (ORDER BY i) - size AS before FROM stored),
+packed AS (SELECT term, size, min(before) OVER (PARTITION BY s)::BIGINT AS prefix_start, (CASE WHEN l = 0 THEN whole ELSE prefix END)::BIGINT AS prefix_len,
+  (CASE WHEN l = 0 THEN 0 WHEN m = 0 THEN before + prefix ELSE before END)::BIGINT AS suffix_start, (CASE WHEN l = 0 THEN 0 ELSE whole - prefix END)::BIGINT AS suffix_len FROM placed)
+"""
+
+
+def with_packed(sql: str) -> str:
+    """`sql` with also packed(term, size, prefix_start, prefix_len, suffix_start, suffix_len) defined."""
+    return with_tokens(PACKED + sql).replace("WITH docs", "WITH RECURSIVE docs", 1)
+
+
+add("front_pack", lambda s, d: collection(s, d).packed.drop("stored"), with_packed("SELECT term, prefix_start, prefix_len, suffix_start, suffix_len FROM packed"))
+add(
+    "front_pack_sizes",
+    lambda s, d: sizes.packing_stats(collection(s, d).packed),
+    with_packed("SELECT sum(strlen(term))::BIGINT AS original_bytes, sum(size)::BIGINT AS packed_bytes, sum(size) / sum(strlen(term)) AS ratio FROM packed"),
+)
+SIZES = """, names AS (SELECT sum(strlen(doc)) AS b, count(*) AS n FROM universe),
+grams AS (SELECT DISTINCT a.term || ' ' || b.term AS g, a.doc FROM tokens a JOIN tokens b ON a.doc = b.doc AND b.pos = a.pos + 1),
+node AS (SELECT DISTINCT substr(term, i, k) AS path, term FROM (SELECT term, i, unnest(range(1, length(term) - i + 2)) AS k FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM vocab))),
+tri AS (SELECT DISTINCT CASE WHEN strlen(term) < 3 THEN '$$' || term || '$$' ELSE substr('$$' || term, i, 3) END AS g, term FROM (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM vocab)),
+turn AS (SELECT DISTINCT substr(term, i + 1) || '$' || left(term, i) AS g, term FROM (SELECT term, unnest(range(0, length(term) + 1)) AS i FROM vocab)),
+report AS (
+  SELECT 'dictionary' AS structure, (SELECT sum(size) FROM packed) + (SELECT sum(strlen(term) + 88) FROM vocab) + 40 * (SELECT count(*) FROM postings) AS bytes
+  UNION ALL SELECT 'matrix', (SELECT sum(strlen(term)) FROM vocab) + b + (SELECT count(*) FROM vocab) * ceil(n / 64) * 8 FROM names
+  UNION ALL SELECT 'inverted', (SELECT sum(strlen(term) + 48) FROM vocab) + (SELECT sum(strlen(doc)) FROM postings) + b FROM names
+  UNION ALL SELECT 'compressed_inverted', (SELECT sum(strlen(term)) FROM vocab) + (SELECT sum(VBSIZE) FROM deltas) + 2 * b + 4 * n FROM names
+  UNION ALL SELECT 'bigram', (SELECT sum(strlen(g) + 24) FROM (SELECT DISTINCT g FROM grams)) + (SELECT sum(strlen(doc)) FROM grams) + b FROM names
+  UNION ALL SELECT 'coordinate', (SELECT sum(strlen(term) + 24) FROM vocab) + (SELECT sum(strlen(doc) + 24) FROM postings) + 8 * (SELECT count(*) FROM tokens) + b FROM names
+  UNION ALL SELECT 'suffix', 104 + (SELECT count(DISTINCT path) * 120 + sum(24 + strlen(term)) FROM node)
+  UNION ALL SELECT 'rotation', (SELECT sum(72 + strlen(g)) FROM (SELECT DISTINCT g FROM turn)) + (SELECT sum(24 + strlen(term)) FROM turn)
+  UNION ALL SELECT 'trigram', (SELECT sum(72 + strlen(g)) FROM (SELECT DISTINCT g FROM tri)) + (SELECT sum(24 + strlen(term)) FROM tri))
+""".replace("VBSIZE", VB_SIZE)
+add(
+    "index_sizes",
+    lambda s, d: collection(s, d).size_report(),
+    with_packed(SIZES + "SELECT structure, bytes::BIGINT AS bytes FROM report UNION ALL SELECT 'wildcard_engine', sum(bytes)::BIGINT FROM report WHERE structure IN ('inverted', 'suffix', 'rotation', 'trigram')"),
+)
 add(
     "inverted_size",
     lambda s, d: (lambda c: sizes.inverted_bytes(c.postings, c.universe))(collection(s, d)),
@@ -275,6 +326,7 @@ add(
 )
 add(
     "index_matrix_ratio",
-    lambda s, d: (lambda c: sizes.ratio(sizes.coordinate_bytes(c.coordinates, c.universe), sizes.inverted_bytes(c.postings, c.universe), "coordinate/inverted"))(collection(s, d)),
-    None,
+    lambda s, d: collection(s, d).ratios(),
+    with_packed(SIZES + """, r AS (SELECT max(bytes) FILTER (structure = 'coordinate')::DOUBLE AS c, max(bytes) FILTER (structure = 'inverted')::DOUBLE AS i, max(bytes) FILTER (structure = 'compressed_inverted')::DOUBLE AS v, max(bytes) FILTER (structure = 'matrix')::DOUBLE AS m FROM report)
+SELECT 'coordinate/inverted' AS name, c / i AS ratio FROM r UNION ALL SELECT 'compressed_inverted/matrix', v / m FROM r UNION ALL SELECT 'inverted/matrix', i / m FROM r"""),
 )

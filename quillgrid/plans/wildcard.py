@@ -65,15 +65,18 @@ class WildcardResult:
     seconds: float
     strategy: str
     error: str | None = None
+    found: int = 0
 
 
 def search_with_stats(query: str, search) -> WildcardResult:
-    """search(query) with its time and strategy; a query error is kept, not raised."""
+    """search(query) with its strategy, the number of documents and the time of finding them; a query error is kept, not raised."""
     began = time.perf_counter()
     strategy = STRATEGY[complexity(query) if has_wildcard(query) else None]
     try:
         if not query.strip():
             raise QueryError("Empty query")
-        return WildcardResult(query, search(query), time.perf_counter() - began, strategy)
+        documents = search(query)
+        found = documents.count()
+        return WildcardResult(query, documents, time.perf_counter() - began, strategy, found=found)
     except QueryError as error:
         return WildcardResult(query, None, time.perf_counter() - began, strategy, str(error))

@@ -66,6 +66,25 @@ def packed_report(dictionary: DataFrame, stats: DataFrame, packing: DataFrame, k
     return head.unionByName(body).orderBy("part", "a", "b").select("value")
 
 
+def save_packed(packed: DataFrame, dictionary: DataFrame, stats: DataFrame, packing: DataFrame, path: str, form: str) -> int:
+    """Write path/packed_<form>; the bytes written. binary is Parquet and json has the same rows (stored in base64); text is the report."""
+    target = f"{path}/packed_{form}"
+    if form == "binary":
+        packed.sortWithinPartitions("prefix_start").write.mode("overwrite").parquet(target)
+    elif form == "json":
+        packed.withColumn("stored", F.base64("stored")).sortWithinPartitions("prefix_start").write.mode("overwrite").json(target)
+    elif form == "text":
+        packed_report(dictionary, stats, packing).coalesce(1).write.mode("overwrite").text(target)
+    else:
+        raise ValueError(f"Unknown format {form}")
+    return folder_bytes(dictionary.sparkSession, target)
+
+
+def format_ratio(compared: DataFrame) -> DataFrame:
+    """largest, smallest and their ratio, of a comparison of formats."""
+    return compared.agg(F.max_by("format", "bytes").alias("largest"), F.min_by("format", "bytes").alias("smallest"), (F.max("bytes") / F.min("bytes")).alias("ratio"))
+
+
 def folder_bytes(spark: SparkSession, path: str) -> int:
     """Bytes under a path, through the file system that the path names."""
     jvm = spark.sparkContext._jvm

@@ -53,8 +53,14 @@ def read_table(df: DataFrame, text_col: str | None = None, id_col: str | None =
     return df.where(F.col(f"`{text}`").isNotNull()).select(doc.alias("doc"), F.col(f"`{text}`").alias("text"), note.alias("metadata"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt out evenly where its files have fewer splits than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_documents(spark: SparkSession, path: str, text_col: str | None = None, id_col: str | None = None) -> DataFrame:
-    return read_table(spark.read.parquet(path), text_col, id_col)
+    return read_table(spread(spark.read.parquet(path)), text_col, id_col)
 
 
 def inspect_schema(df: DataFrame) -> DataFrame:

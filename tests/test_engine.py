@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgrid.engine import Collection
 from quillgrid.functions.patterns import complexity, required_trigrams
 from quillgrid.functions.tokenizers import book_words, plain_words
+from quillgrid.operators import indexes
 from quillgrid.plans.query import LEGACY, QueryError
 
 TEXTS = {"d1": "red cat sat here", "d2": "cat red red dog", "d3": "dog sat", "d4": "the cat xxx sat", "d5": "to a"}
@@ -140,6 +141,40 @@ def test_random_queries_and_patterns_on_stored_indexes(spark, tmp_path):
     assert stored.contains_term(a) and not stored.contains_term("nonexistent")
     result = stored.search_with_stats("a*b")
     assert result.strategy == "Permutation Index" and result.error is None
+    assert result.found == result.documents.count() and result.seconds > 0
     assert stored.search_with_stats(" ").error == "Empty query"
     plan = stored.postings.where(F.col("term").isin([a, b]))._jdf.queryExecution().toString()
     assert re.search(r"PushedFilters: \[[^\]]*In\(term", plan)
+
+
+def test_search_with_stats_times_the_search():
+    import time
+
+    from quillgrid.plans import wildcard
+
+    class Slow:
+        def count(self):
+            time.sleep(0.2)
+            return 7
+
+    result = wildcard.search_with_stats("a*b", lambda q: Slow())
+    assert result.seconds >= 0.2 and result.found == 7
+
+
+def test_blocks_of_documents_are_the_whole_list(spark):
+    rows = [("common", f"doc_{k:04d}") for k in range(250)] + [("rare", "doc_0100")]
+    postings = spark.createDataFrame(rows, "term string, doc string")
+    got = indexes.block_dictionary(postings, indexes.doc_ids(postings.select("doc")), 100).collect()
+    common = sorted((r for r in got if r.term == "common"), key=lambda r: r.block)
+    assert [len(r.documents) for r in common] == [100, 100, 50] and {r.frequency for r in common} == {250}
+    assert [d for r in common for d in r.documents] == [f"doc_{k:04d}" for k in range(250)]
+
+
+def test_names_that_begin_alike_are_ranked_in_many_heads(spark):
+    """Ids doc_0, doc_1, .. and addresses: no head holds a large part of the names, and ranks are those of the sorted names."""
+    for names in ([f"doc_{k}" for k in range(3000)], [f"https://www.example.com/page/{k}/index.html" for k in range(3000)], ["only"], []):
+        df = spark.createDataFrame([(n,) for n in names], "doc string")
+        assert {r.doc: r.id for r in indexes.doc_ids(df, cells=16).collect()} == {n: k for k, n in enumerate(sorted(names))}
+        if len(names) > 1:
+            heads = df.groupBy(indexes.ranked_head(indexes.rank_cells(df, 16), indexes.RANK_PREFIX).alias("h")).count()
+            assert max(r["count"] for r in heads.collect()) <= len(names) / 8
