@@ -44,6 +44,27 @@ class Collection:
             return self.coordinates.select("term", "doc", F.explode("positions").alias("pos"))
         return indexes.tokens(self.docs, self.tokenizer)
 
+    @cached_property
+    def single(self) -> bool:
+        """Whether no doc stands in two rows (one pass over the names); then nothing has to be made distinct by shuffles."""
+        return indexes.distinct_docs(self.docs)
+
+    @cached_property
+    def numbers(self) -> indexes.Numbering:
+        return indexes.numbering(self.docs, self.tokenizer)
+
+    def numbered(self, block: int | None = None) -> DataFrame:
+        return indexes.numbered(self.docs, self.numbers, self.tokenizer, block)
+
+    @cached_property
+    def term_sums(self) -> DataFrame:
+        """term, tf, df, doc_bytes: what the dictionary and the sizes of indexes by term are made from."""
+        if self.stored:
+            return indexes.posting_sums(self.coordinates)
+        if self.single:
+            return indexes.term_sums(self.docs, self.tokenizer)
+        return indexes.posting_sums(self.tokens.groupBy("term", "doc").agg(F.count("*").alias("n")))
+
     @cached_property
     def dictionary(self) -> DataFrame:
         return self._index("dictionary", lambda: indexes.dictionary(self.tokens))
@@ -58,7 +79,7 @@ class Collection:
 
     @cached_property
     def universe(self) -> DataFrame:
-        return self._index("universe", lambda: indexes.universe(self.tokens))
+        return self._index("universe", lambda: indexes.universe(indexes.with_words(self.docs, self.tokenizer)))
 
     @cached_property
     def doc_ids(self) -> DataFrame:
@@ -80,6 +101,21 @@ class Collection:
     def compressed(self) -> DataFrame:
         return self._index("compressed", lambda: indexes.compressed_postings(indexes.posting_deltas(indexes.posting_ids(self.postings, self.doc_ids))))
 
+    def compressed_lists(self, block: int | None = indexes.POSTING_BLOCK) -> DataFrame:
+        """term, block, n_postings, data, coded in blocks of so many ids, or each list whole."""
+        return indexes.run_postings(indexes.posting_runs(self.numbered(), block), block)
+
+    @property
+    def compressed_sizes(self) -> DataFrame:
+        if self.stored:
+            return indexes.compressed_sizes(indexes.posting_deltas(indexes.posting_ids(self.postings, self.doc_ids)))
+        return indexes.run_sizes(indexes.posting_runs(self.numbered()))
+
+    def block_dictionary(self, block: int = indexes.POSTING_BLOCK) -> DataFrame:
+        if self.stored:
+            return indexes.block_dictionary(self.postings, self.doc_ids, block)
+        return indexes.numbered_block_dictionary(self.numbered(block), block)
+
     @cached_property
     def vocabulary(self) -> DataFrame:
         return self.dictionary.select("term")
@@ -100,6 +136,11 @@ class Collection:
     def packed(self) -> DataFrame:
         return frontpack.front_pack(self.vocabulary)
 
+    @cached_property
+    def packed_parts(self) -> DataFrame:
+        """For sums over the packed blob: offsets count from each first character."""
+        return frontpack.packed_parts(self.vocabulary)
+
     def contains_term(self, term: str) -> bool:
         return bool(self.dictionary.where(F.col("term") == term).head(1))
 

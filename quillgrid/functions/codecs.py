@@ -48,13 +48,16 @@ def vb_size(delta: Column) -> Column:
 
 
 def vb_hex(delta: Column) -> Column:
-    """One coded number as hex digits."""
-    two = lambda c: F.lpad(F.hex(c), 2, "0")
-    low = [F.when(delta >= 1 << 7 * (k + 1), two(F.shiftright(delta, 7 * k).bitwiseAND(127))).otherwise("") for k in range(4)]
-    top = F.when(delta < 1 << 7, delta)
-    for k in range(1, 4):
-        top = top.when(delta < 1 << 7 * (k + 1), F.shiftright(delta, 7 * k))
-    return F.concat(*low, two(top.otherwise(F.shiftright(delta, 28)) + 128))
+    """One coded number as hex digits: its seven-bit groups as one number of as many bytes, in hex."""
+
+    def groups(k: int) -> Column:
+        low = [F.shiftleft(F.shiftright(delta, 7 * i).bitwiseAND(127), 8 * (k - 1 - i)) for i in range(k - 1)]
+        return sum(low, F.shiftright(delta, 7 * (k - 1)) + 128)
+
+    whole = F.when(delta < 1 << 7, delta + 128)
+    for k in (2, 3, 4):
+        whole = whole.when(delta < 1 << 7 * k, groups(k))
+    return F.lpad(F.hex(whole.otherwise(groups(5))), 2 * vb_size(delta), "0")
 
 
 def decoded_numbers(data: Column) -> Column:

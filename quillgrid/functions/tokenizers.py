@@ -11,6 +11,8 @@ BOOK_WORD = r"(?U)\b[а-яёА-ЯЁa-zA-Z]{3,}\b"
 WHITE_SPACE = r"\p{IsWhite_Space}+"
 NEITHER = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}]"
 MIN_BYTES = 3
+#: Text with such a run has a plain word: none of its characters is taken out, and each has a byte or more.
+PLAIN_RUN = r"[\p{IsAlphabetic}\p{N}]{3}"
 
 Tokenizer = Callable[[Column], Column]
 
@@ -34,3 +36,9 @@ TOKENIZERS: dict[str, Tokenizer] = {"plain": plain_words, "book": book_words}
 def resolve(tokenizer: str | Tokenizer) -> Tokenizer:
     """A name in TOKENIZERS, or any function from a text column to an array of words."""
     return tokenizer if callable(tokenizer) else TOKENIZERS[tokenizer]
+
+
+def has_words(text: Column, tokenizer: str | Tokenizer) -> Column:
+    """Whether the text has a word. Most texts show it by their first letters and aren't tokenized for it."""
+    some = F.size(resolve(tokenizer)(text)) > 0
+    return F.when(text.rlike(PLAIN_RUN), True).otherwise(some) if tokenizer in ("plain", plain_words) else some
