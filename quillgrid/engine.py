@@ -201,21 +201,7 @@ class Collection:
 
     def size_report(self) -> DataFrame:
         """structure, bytes of every structure; wildcard_engine is the sum of the four that wildcard search holds."""
-        found = [
-            sizes.dictionary_bytes(self.dictionary, self.packed),
-            sizes.matrix_bytes(self.dictionary, self.universe),
-            sizes.inverted_bytes(self.postings, self.universe),
-            sizes.compressed_inverted_bytes(indexes.compressed_sizes(indexes.posting_deltas(indexes.posting_ids(self.postings, self.doc_ids))), self.universe),
-            sizes.bigram_bytes(self.bigrams, self.universe),
-            sizes.coordinate_bytes(self.tokens.groupBy("term", "doc").agg(F.count("*").alias("n")), self.universe),
-            sizes.suffix_bytes(self.suffixes),
-            sizes.key_index_bytes(self.rotations, "rotation", "rotation"),
-            sizes.key_index_bytes(self.trigrams, "trigram", "trigram"),
-        ]
-        out = found[0]
-        for part in found[1:]:
-            out = out.unionByName(part)
-        return sizes.with_engine(out)
+        return sizes.report(self.term_sums, self.packed_parts, self.universe, self.compressed_sizes, self.bigrams)
 
     def ratios(self) -> DataFrame:
         """name, ratio: coordinate over inverted, and compressed inverted over matrix."""

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .indexes import beside
+from .indexes import beside, rotation_keys, trigram_keys
 
 
 @dataclass(frozen=True)
@@ -50,9 +50,18 @@ def matrix_bytes(dictionary: DataFrame, universe: DataFrame) -> DataFrame:
     return beside(terms, docs).select(F.lit("matrix").alias("structure"), (F.col("names") + F.col("docs") + F.col("t") * row).cast("long").alias("bytes"))
 
 
-def inverted_bytes(postings: DataFrame, universe: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    per_term = postings.groupBy("term").agg(F.sum(F.octet_length("doc")).alias("b"))
-    return _sum("inverted", _total(per_term, "p", F.octet_length("term") + costs.hash_set + F.col("b")), documents_bytes(universe))
+def inverted_size(costs: Costs) -> Column:
+    """Of a term in `term_sums`: its name, a set, and the names of its documents."""
+    return F.octet_length("term") + costs.hash_set + F.col("doc_bytes")
+
+
+def coordinate_size(costs: Costs) -> Column:
+    """Of a term in `term_sums`: its name and list, and by document a name, a list and the positions."""
+    return F.octet_length("term") + costs.vector + F.col("doc_bytes") + F.col("df") * costs.vector + F.col("tf") * costs.word
+
+
+def inverted_bytes(sums: DataFrame, universe: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    return _sum("inverted", _total(sums, "p", inverted_size(costs)), documents_bytes(universe))
 
 
 def compressed_inverted_bytes(sizes: DataFrame, universe: DataFrame) -> DataFrame:
@@ -66,11 +75,8 @@ def bigram_bytes(bigrams: DataFrame, universe: DataFrame, costs: Costs = Costs()
     return _sum("bigram", _total(per_key, "p", F.octet_length("bigram") + costs.vector + F.col("b")), documents_bytes(universe))
 
 
-def coordinate_bytes(coordinates: DataFrame, universe: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    """Counts of positions suffice, so tokens grouped by (term, doc) with n, or the index itself, will do."""
-    n = F.size("positions") if "positions" in coordinates.columns else F.col("n")
-    per_term = coordinates.groupBy("term").agg(F.sum(F.octet_length("doc") + costs.vector + n * costs.word).alias("b"))
-    return _sum("coordinate", _total(per_term, "p", F.octet_length("term") + costs.vector + F.col("b")), documents_bytes(universe))
+def coordinate_bytes(sums: DataFrame, universe: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    return _sum("coordinate", _total(sums, "p", coordinate_size(costs)), documents_bytes(universe))
 
 
 def key_index_bytes(index: DataFrame, key: str, name: str, costs: Costs = Costs()) -> DataFrame:
@@ -86,6 +92,76 @@ def suffix_bytes(suffixes: DataFrame, costs: Costs = Costs()) -> DataFrame:
     return _sum("suffix", _total(per_node, "n", costs.node + costs.child + F.col("b")), suffixes.sparkSession.createDataFrame([("root", costs.node)], "structure string, bytes long"))
 
 
+def substrings(term: Column) -> Column:
+    """Distinct non-empty substrings: the trie nodes that hold the term."""
+    n = F.char_length(term)
+    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(term, i, k)))
+    return F.when(n > 0, F.array_distinct(F.flatten(each))).otherwise(F.array().cast("array<string>"))
+
+
+def vocabulary_sizes(sums: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """One row: what `term_sums` tell of dictionary, matrix, inverted, coordinate, suffix, rotation and trigram indexes.
+
+    A term gives its sums once and each key it has in an index once, so one pass by key counts the distinct
+    keys. Turns of a term without `$` belong to it alone and are summed with it.
+    """
+    term, size, n = F.col("term"), F.octet_length("term").cast("long"), F.char_length("term")
+    paths, keys, turns, alone = substrings(term), trigram_keys(term), rotation_keys(term), ~F.contains(term, F.lit("$"))
+    held = costs.string + size
+    turn = (n + 1) * (2 * costs.string + costs.hash_set + 2 * size + 1)
+    own = {
+        "terms": F.lit(1).cast("long"),
+        "names": size,
+        "dictionary": size + 4 * costs.word + costs.entry + F.col("df") * (costs.string + 16),
+        "inverted": inverted_size(costs),
+        "coordinate": coordinate_size(costs),
+        "turns": F.when(alone, turn).otherwise(0).cast("long"),
+    }
+    key = lambda kind, k, bytes_: F.struct(F.lit(kind).alias("kind"), k.alias("key"), bytes_.cast("long").alias("bytes"))
+    rows = F.concat(
+        F.array(*[key(kind, F.lit(""), value) for kind, value in own.items()]),
+        F.transform(paths, lambda p: key("suffix", p, held)),
+        F.transform(F.when(alone, F.array().cast("array<string>")).otherwise(turns), lambda r: key("rotation", r, held)),
+        F.transform(keys, lambda t: key("trigram", t, held)),
+    )
+    by_key = sums.select(F.explode(rows).alias("e")).groupBy("e.kind", "e.key").agg(F.sum("e.bytes").alias("b"))
+    is_ = lambda kind: F.col("kind") == kind
+    by_kind = by_key.groupBy("kind").agg(F.sum("b").alias("b"), F.count("*").alias("n"), F.sum(F.octet_length("key").cast("long")).alias("k"))
+    total = lambda kind, value: F.coalesce(F.sum(F.when(is_(kind), value)), F.lit(0))
+    entry = F.col("b") + F.col("n") * (costs.string + costs.hash_set) + F.col("k")
+    return by_kind.groupBy().agg(
+        *[total(kind, F.col("b")).alias(kind) for kind in own if kind != "turns"],
+        (total("suffix", F.col("b") + F.col("n") * (costs.node + costs.child)) + costs.node).alias("suffix"),
+        (total("turns", F.col("b")) + total("rotation", entry)).alias("rotation"),
+        total("trigram", entry).alias("trigram"),
+    )
+
+
+def report(sums: DataFrame, packed: DataFrame, universe: DataFrame, coded: DataFrame, bigrams: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """structure, bytes of every structure: each input is read once, and one row of sums of each comes together."""
+    one = beside(
+        vocabulary_sizes(sums, costs),
+        packed.agg(F.coalesce(F.sum(F.octet_length("stored")), F.lit(0)).alias("packed")),
+        universe.agg(F.coalesce(F.sum(F.octet_length("doc")), F.lit(0)).alias("docs"), F.count("*").alias("n")),
+        coded.agg(F.coalesce(F.sum("vb_bytes"), F.lit(0)).alias("coded")),
+        bigram_bytes(bigrams, universe.limit(0), costs).select(F.col("bytes").alias("pairs")),
+    )
+    c = F.col
+    found = {
+        "dictionary": c("dictionary") + c("packed"),
+        "matrix": c("names") + c("docs") + c("terms") * F.ceil(c("n") / 64) * 8,
+        "inverted": c("inverted") + c("docs"),
+        "compressed_inverted": c("names") + c("coded") + 2 * c("docs") + 4 * c("n"),
+        "bigram": c("pairs") + c("docs"),
+        "coordinate": c("coordinate") + c("docs"),
+        "suffix": c("suffix"),
+        "rotation": c("rotation"),
+        "trigram": c("trigram"),
+    }
+    rows = F.array(*[F.struct(F.lit(name).alias("structure"), value.cast("long").alias("bytes")) for name, value in found.items()])
+    return with_engine(one.select(F.explode(rows).alias("e")).select("e.structure", "e.bytes"))
+
+
 def compression_stats(sizes: DataFrame) -> DataFrame:
     """One row: 4 bytes a posting, coded bytes, and their ratio (1.0 for an empty index)."""
     whole = sizes.agg((4 * F.coalesce(F.sum("n_postings"), F.lit(0))).alias("original_bytes"), F.coalesce(F.sum("vb_bytes"), F.lit(0)).alias("compressed_bytes"))
