@@ -99,7 +99,7 @@ class Collection:
 
     @cached_property
     def compressed(self) -> DataFrame:
-        return self._index("compressed", lambda: indexes.compressed_postings(indexes.posting_deltas(indexes.posting_ids(self.postings, self.doc_ids))))
+        return self._index("compressed", lambda: self.compressed_lists())
 
     def compressed_lists(self, block: int | None = indexes.POSTING_BLOCK) -> DataFrame:
         """term, block, n_postings, data, coded in blocks of so many ids, or each list whole."""
