@@ -87,7 +87,7 @@ class Collection:
 
     @cached_property
     def matrix(self) -> DataFrame:
-        return self._index("matrix", lambda: indexes.incidence_matrix(indexes.posting_ids(self.postings, self.doc_ids)))
+        return self._index("matrix", lambda: indexes.numbered_matrix(self.numbered(indexes.MATRIX_BLOCK)))
 
     @cached_property
     def bigrams(self) -> DataFrame:
