@@ -176,7 +176,9 @@ class Collection:
             if not query.strip():
                 raise QueryError("Empty query")
             if has_wildcard(query):
-                return wildcard.documents_of(self.expand(query, mode), self.postings)
+                if self.stored:
+                    return wildcard.documents_of(self.expand(query, mode), self.postings)
+                return indexes.with_any_word(self.docs, lambda w: wildcard.matches(w, query, mode), self.tokenizer).select("doc").distinct()
             index = "inverted"
         if index not in INDEXES:
             raise QueryError(f"Unknown index {index}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import MEDIUM, SIMPLE, STRATEGY, complexity, glob_terms, has_wildcard, legacy_terms, required_trigrams
@@ -39,11 +39,16 @@ def expand_by_suffix(suffixes: DataFrame, pattern: str) -> DataFrame:
     return found.select("term").distinct().where(glob_terms(F.col("term"), pattern))
 
 
+def matches(term: Column, pattern: str, mode: str = STANDARD) -> Column:
+    """Whether a term is one of the pattern's."""
+    return legacy_terms(term, pattern) if mode == LEGACY else glob_terms(term, pattern)
+
+
 def expand(pattern: str, vocabulary: DataFrame, rotations: DataFrame | None = None, trigrams: DataFrame | None = None, suffixes: DataFrame | None = None, mode: str = STANDARD) -> DataFrame:
     """Terms for a pattern. The access path follows the pattern's complexity; the result does not."""
     kind = complexity(pattern)
     if mode == LEGACY:
-        return vocabulary.select("term").where(legacy_terms(F.col("term"), pattern))
+        return vocabulary.select("term").where(matches(F.col("term"), pattern, mode))
     if kind == SIMPLE and "*" in pattern and rotations is not None:
         return expand_by_rotation(rotations, pattern)
     if kind == MEDIUM and suffixes is not None:
