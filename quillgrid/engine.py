@@ -67,7 +67,7 @@ class Collection:
 
     @cached_property
     def dictionary(self) -> DataFrame:
-        return self._index("dictionary", lambda: indexes.dictionary(self.tokens))
+        return self._index("dictionary", lambda: self.term_sums.select("term", "tf", "df"))
 
     @cached_property
     def stats(self) -> DataFrame:
