@@ -91,7 +91,7 @@ class Collection:
 
     @cached_property
     def bigrams(self) -> DataFrame:
-        return self._index("bigrams", lambda: indexes.bigrams(self.docs, self.tokenizer))
+        return self._index("bigrams", lambda: indexes.bigrams(self.docs, self.tokenizer, self.single))
 
     @cached_property
     def coordinates(self) -> DataFrame:
