@@ -95,7 +95,7 @@ class Collection:
 
     @cached_property
     def coordinates(self) -> DataFrame:
-        return self._index("coordinates", lambda: indexes.coordinates(self.tokens))
+        return self._index("coordinates", lambda: indexes.document_coordinates(self.docs, self.tokenizer) if self.single else indexes.coordinates(self.tokens))
 
     @cached_property
     def compressed(self) -> DataFrame:
