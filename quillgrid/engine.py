@@ -75,7 +75,7 @@ class Collection:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self._index("postings", lambda: indexes.postings(self.tokens))
+        return self._index("postings", lambda: indexes.document_postings(self.docs, self.tokenizer) if self.single else indexes.postings(self.tokens))
 
     @cached_property
     def universe(self) -> DataFrame:
