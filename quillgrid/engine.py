@@ -65,6 +65,13 @@ class Collection:
             return indexes.term_sums(self.docs, self.tokenizer)
         return indexes.posting_sums(self.tokens.groupBy("term", "doc").agg(F.count("*").alias("n")))
 
+    @property
+    def bigram_sums(self) -> DataFrame:
+        """bigram, doc_bytes: parts of what the size of the two-word index is made from."""
+        if not self.stored and self.single:
+            return indexes.bigram_sums(self.docs, self.tokenizer)
+        return self.bigrams.select("bigram", F.octet_length("doc").cast("long").alias("doc_bytes"))
+
     @cached_property
     def dictionary(self) -> DataFrame:
         return self._index("dictionary", lambda: self.term_sums.select("term", "tf", "df"))
@@ -203,7 +210,7 @@ class Collection:
 
     def size_report(self) -> DataFrame:
         """structure, bytes of every structure; wildcard_engine is the sum of the four that wildcard search holds."""
-        return sizes.report(self.term_sums, self.packed_parts, self.universe, self.compressed_sizes, self.bigrams)
+        return sizes.report(self.term_sums, self.packed_parts, self.universe, self.compressed_sizes, self.bigram_sums)
 
     def ratios(self) -> DataFrame:
         """name, ratio: coordinate over inverted, and compressed inverted over matrix."""

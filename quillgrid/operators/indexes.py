@@ -248,6 +248,11 @@ def term_sums(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> DataFram
     return parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("tf", "df", "doc_bytes")])
 
 
+def bigram_sums(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> DataFrame:
+    """bigram, doc_bytes (of the names of its documents) in parts by chunk, where no doc stands in two rows."""
+    return inversion.by_chunk(word_arrays(docs, tokenizer), "bigram string, doc_bytes long", inversion.pair_sums)
+
+
 def posting_sums(counts: DataFrame) -> DataFrame:
     """`term_sums` from rows by (term, doc): with n, or the positional index itself."""
     n = F.size("positions").cast("long") if "positions" in counts.columns else F.col("n")

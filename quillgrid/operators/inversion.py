@@ -80,6 +80,18 @@ def sums(table: pa.Table) -> dict:
     return {"term": terms, "tf": np.bincount(place, minlength=n), "df": np.bincount(held, minlength=n), "doc_bytes": np.bincount(held, names[at], n).astype(np.int64)}
 
 
+def pair_sums(table: pa.Table) -> dict:
+    """Each two-word key of the chunk, and the bytes of the names of its documents."""
+    terms, place, row = coded(table)
+    beside = row[1:] == row[:-1]
+    keys, at = np.unique(place[:-1][beside] * len(terms) + place[1:][beside], return_inverse=True)
+    posting = np.unique(at * table.num_rows + row[1:][beside])
+    names = pc.binary_length(table["doc"]).to_numpy().astype(np.float64)
+    held = np.bincount(posting // table.num_rows, names[posting % table.num_rows], len(keys)).astype(np.int64)
+    first, second = (terms.take(pa.array(x)) for x in (keys // max(1, len(terms)), keys % max(1, len(terms))))
+    return {"bigram": pc.binary_join_element_wise(first, second, " "), "doc_bytes": held}
+
+
 def vb_bytes(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Variable-byte codes one after another; numbers of size 0 are left out."""
     out, ends = np.zeros(int(sizes.sum()), np.uint8), np.cumsum(sizes)

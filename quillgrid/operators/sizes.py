@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .indexes import beside, rotation_keys, trigram_keys
+from .indexes import beside
 
 
 @dataclass(frozen=True)
@@ -70,8 +73,9 @@ def compressed_inverted_bytes(sizes: DataFrame, universe: DataFrame) -> DataFram
     return _sum("compressed_inverted", _total(sizes, "p", F.octet_length("term") + F.col("vb_bytes")), names)
 
 
-def bigram_bytes(bigrams: DataFrame, universe: DataFrame, costs: Costs = Costs()) -> DataFrame:
-    per_key = bigrams.groupBy("bigram").agg(F.sum(F.octet_length("doc")).alias("b"))
+def bigram_bytes(sums: DataFrame, universe: DataFrame, costs: Costs = Costs()) -> DataFrame:
+    """From rows with a bigram and doc_bytes; a bigram may have several."""
+    per_key = sums.groupBy("bigram").agg(F.sum("doc_bytes").alias("b"))
     return _sum("bigram", _total(per_key, "p", F.octet_length("bigram") + costs.vector + F.col("b")), documents_bytes(universe))
 
 
@@ -92,48 +96,72 @@ def suffix_bytes(suffixes: DataFrame, costs: Costs = Costs()) -> DataFrame:
     return _sum("suffix", _total(per_node, "n", costs.node + costs.child + F.col("b")), suffixes.sparkSession.createDataFrame([("root", costs.node)], "structure string, bytes long"))
 
 
-def substrings(term: Column) -> Column:
-    """Distinct non-empty substrings: the trie nodes that hold the term."""
-    n = F.char_length(term)
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(term, i, k)))
-    return F.when(n > 0, F.array_distinct(F.flatten(each))).otherwise(F.array().cast("array<string>"))
+MOST_KEYS = 1 << 19
+
+
+def term_keys(term: str) -> dict[str, set[str]]:
+    """The keys of a term: trie nodes, trigrams, and turns if another term could have the same, that is with `$` in it."""
+    n, padded = len(term), "$$" + term
+    return {
+        "suffix": {term[i:j] for i in range(n) for j in range(i + 1, n + 1)},
+        "trigram": {padded[i : i + 3] for i in range(n)} if len(term.encode()) >= 3 else {padded + "$$"},
+        "rotation": {term[i:] + "$" + term[:i] for i in range(n + 1)} if "$" in term else set(),
+    }
+
+
+def key_rows(batches: Iterable[pa.RecordBatch], costs: Costs) -> Iterator[pa.RecordBatch]:
+    """kind, key, bytes from batches of terms and their own sums: distinct keys, at most MOST_KEYS held at once, and sums with the key ``."""
+    keys, sums = defaultdict(set), Counter()
+
+    def rows() -> pa.RecordBatch:
+        flat = [(kind, key, 0) for kind, found in keys.items() for key in found] + [(kind, "", n) for kind, n in sums.items()]
+        kinds, names, numbers = zip(*flat, strict=True)
+        keys.clear()
+        sums.clear()
+        return pa.RecordBatch.from_pydict({"kind": pa.array(kinds), "key": pa.array(names), "bytes": pa.array(numbers, pa.int64())})
+
+    for batch in batches:
+        table = batch.to_pydict()
+        for term in table["term"]:
+            held = costs.string + len(term.encode())
+            for kind, found in term_keys(term).items():
+                keys[kind] |= found
+                sums[f"{kind} terms"] += held * len(found)
+        for kind in table:
+            if kind != "term":
+                sums[kind] += sum(table[kind])
+        if sum(map(len, keys.values())) >= MOST_KEYS:
+            yield rows()
+    if keys or sums:
+        yield rows()
 
 
 def vocabulary_sizes(sums: DataFrame, costs: Costs = Costs()) -> DataFrame:
     """One row: what `term_sums` tell of dictionary, matrix, inverted, coordinate, suffix, rotation and trigram indexes.
 
-    A term gives its sums once and each key it has in an index once, so one pass by key counts the distinct
-    keys. Turns of a term without `$` belong to it alone and are summed with it.
+    Terms give their sums and keys in Arrow batches, and one pass by key counts the distinct ones. Turns of a
+    term without `$` belong to it alone and are summed with it.
     """
-    term, size, n = F.col("term"), F.octet_length("term").cast("long"), F.char_length("term")
-    paths, keys, turns, alone = substrings(term), trigram_keys(term), rotation_keys(term), ~F.contains(term, F.lit("$"))
-    held = costs.string + size
-    turn = (n + 1) * (2 * costs.string + costs.hash_set + 2 * size + 1)
+    term, size = F.col("term"), F.octet_length("term").cast("long")
+    turn = (F.char_length(term) + 1) * (2 * costs.string + costs.hash_set + 2 * size + 1)
     own = {
-        "terms": F.lit(1).cast("long"),
+        "terms": F.lit(1),
         "names": size,
         "dictionary": size + 4 * costs.word + costs.entry + F.col("df") * (costs.string + 16),
         "inverted": inverted_size(costs),
         "coordinate": coordinate_size(costs),
-        "turns": F.when(alone, turn).otherwise(0).cast("long"),
+        "turns": F.when(F.contains(term, F.lit("$")), 0).otherwise(turn),
     }
-    key = lambda kind, k, bytes_: F.struct(F.lit(kind).alias("kind"), k.alias("key"), bytes_.cast("long").alias("bytes"))
-    rows = F.concat(
-        F.array(*[key(kind, F.lit(""), value) for kind, value in own.items()]),
-        F.transform(paths, lambda p: key("suffix", p, held)),
-        F.transform(F.when(alone, F.array().cast("array<string>")).otherwise(turns), lambda r: key("rotation", r, held)),
-        F.transform(keys, lambda t: key("trigram", t, held)),
-    )
-    by_key = sums.select(F.explode(rows).alias("e")).groupBy("e.kind", "e.key").agg(F.sum("e.bytes").alias("b"))
-    is_ = lambda kind: F.col("kind") == kind
+    rows = sums.select("term", *[value.cast("long").alias(name) for name, value in own.items()]).mapInArrow(lambda batches: key_rows(batches, costs), "kind string, key string, bytes long")
+    by_key = rows.groupBy("kind", "key").agg(F.sum("bytes").alias("b"))
     by_kind = by_key.groupBy("kind").agg(F.sum("b").alias("b"), F.count("*").alias("n"), F.sum(F.octet_length("key").cast("long")).alias("k"))
-    total = lambda kind, value: F.coalesce(F.sum(F.when(is_(kind), value)), F.lit(0))
-    entry = F.col("b") + F.col("n") * (costs.string + costs.hash_set) + F.col("k")
+    total = lambda kind, value: F.coalesce(F.sum(F.when(F.col("kind") == kind, value)), F.lit(0))
+    entries = lambda kind: total(f"{kind} terms", F.col("b")) + total(kind, F.col("n") * (costs.string + costs.hash_set) + F.col("k"))
     return by_kind.groupBy().agg(
         *[total(kind, F.col("b")).alias(kind) for kind in own if kind != "turns"],
-        (total("suffix", F.col("b") + F.col("n") * (costs.node + costs.child)) + costs.node).alias("suffix"),
-        (total("turns", F.col("b")) + total("rotation", entry)).alias("rotation"),
-        total("trigram", entry).alias("trigram"),
+        (total("suffix terms", F.col("b")) + total("suffix", F.col("n") * (costs.node + costs.child)) + costs.node).alias("suffix"),
+        (total("turns", F.col("b")) + entries("rotation")).alias("rotation"),
+        entries("trigram").alias("trigram"),
     )
 
 
