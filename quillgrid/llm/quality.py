@@ -162,7 +162,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
     Only keys with hashes below a bound, of which there are about a quarter more than wanted, are brought
     together, and texts become features where they are read; equal keys have several rows, of which those
-    with the least hashes are taken.
+    with the least hashes are taken. One task fits the model to them, so only its weights come to the driver.
     """
     graded = labels.select(F.col(f"`{key}`").alias("_key"), grade().alias("_grade")).where("_grade is not null and _key is not null")
     n = graded.agg(F.approx_count_distinct("_key", 0.02)).head()[0]
@@ -177,8 +177,14 @@ def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
             packed = [np.sort(np.fromiter(features(x), np.uint32)).tobytes() for x in b["_t"]]
             yield pd.DataFrame({"h": b["h"], "f": packed, "g": b["g"]})
 
-    taken = found.mapInPandas(run, "h long, f binary, g int").orderBy("h", "g").limit(sample).toLocalIterator()
-    return fit([(np.frombuffer(r["f"], np.uint32), r["g"]) for r in taken])
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = [(np.frombuffer(f, np.uint32), g) for b in batches for f, g in zip(b["f"], b["g"], strict=True)]
+        model = fit(taken)
+        yield pd.DataFrame({"hashes": [model.hashes.tobytes()], "weights": [model.weights.tobytes()], "thresholds": [model.thresholds.tobytes()]})
+
+    taken = found.mapInPandas(run, "h long, f binary, g int").orderBy("h", "g").limit(sample)  # one partition, in order
+    model = taken.mapInPandas(fitted, "hashes binary, weights binary, thresholds binary").head()
+    return OrdinalModel(*map(np.frombuffer, model, (np.uint32, float, float))) if model else fit([])
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text", accept: float = ACCEPT, keep_text: bool = True) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators against SQL, brute force, round trips and held-out accuracy."""
 
 import collections
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quillgrid.llm import components, decontamination, exact_dedup, license_rules, licenses, mixing, passages, personal, quality, quotations, sharding, simhash
 from quillgrid.llm.common import table
@@ -239,6 +241,19 @@ def test_held_out_accuracy(spark):
     assert right[(2, False)] <= 0.02 * (right[(2, True)] + right[(2, False)])
 
 
+def test_model_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample and the fit's temporaries stay out of the driver; it gets those with the least hashes, in order."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    seen = lambda rows: quality.OrdinalModel(np.array([f[0] for f, _ in rows], np.uint32), np.array([g for _, g in rows], float), np.array([os.getpid(), len(rows)], float))
+    monkeypatch.setattr(quality, "fit", seen)
+    model = quality.fit_on(docs, labels, sample=50)
+    assert model.thresholds[0] != os.getpid() and model.thresholds[1] == 50 == len(model.hashes)
+    rows = docs.join(labels, "doc_id").where("quality is not null and toxic is not null").withColumn("g", quality.grade()).withColumn("h", F.xxhash64("doc_id", F.col("text").cast("binary")))
+    chosen = labels.where("quality is not null and toxic is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).select("doc_id")
+    want = [(min(quality.features(r.text.encode())), r.g) for r in rows.join(chosen, "doc_id").orderBy("h", "g").collect()]
+    assert list(zip(model.hashes.tolist(), model.weights.tolist(), strict=True)) == want
+
+
 # personal data
 NAIVE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
