@@ -11,6 +11,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow_words import left_out, name_of
 from ..functions.codecs import decoded_deltas, vb_hex, vb_size
 from ..functions.tokenizers import Tokenizer, has_words, resolve
 from . import inversion
@@ -35,6 +36,14 @@ def word_arrays(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> DataFr
     return docs.select("doc", resolve(tokenizer)(F.col("text")).alias("words"))
 
 
+def chunk_words(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> tuple[DataFrame, str | None]:
+    """What `by_chunk` takes: docs whose texts are cut in its Arrow batches and the tokenizer's name, or docs with `words` and None."""
+    name = name_of(tokenizer)
+    if "words" in docs.columns or name is None:
+        return word_arrays(docs, tokenizer), None
+    return docs.select("doc", "text", left_out(F.col("text"), name).alias("words")), name
+
+
 def tokens(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> DataFrame:
     """doc, pos (0-based), term."""
     return word_arrays(docs, tokenizer).select("doc", F.posexplode("words").alias("pos", "term"))
@@ -244,13 +253,15 @@ def document_coordinates(docs: DataFrame, tokenizer: str | Tokenizer = "plain")
 
 def term_sums(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> DataFrame:
     """term, tf, df, doc_bytes (of the names of its documents), where no doc stands in two rows: sums by term only."""
-    parts = inversion.by_chunk(word_arrays(docs, tokenizer), "term string, tf long, df long, doc_bytes long", inversion.sums)
+    rows, name = chunk_words(docs, tokenizer)
+    parts = inversion.by_chunk(rows, "term string, tf long, df long, doc_bytes long", inversion.sums, tokenizer=name)
     return parts.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("tf", "df", "doc_bytes")])
 
 
 def bigram_sums(docs: DataFrame, tokenizer: str | Tokenizer = "plain") -> DataFrame:
     """bigram, doc_bytes (of the names of its documents) in parts by chunk, where no doc stands in two rows."""
-    return inversion.by_chunk(word_arrays(docs, tokenizer), "bigram string, doc_bytes long", inversion.pair_sums)
+    rows, name = chunk_words(docs, tokenizer)
+    return inversion.by_chunk(rows, "bigram string, doc_bytes long", inversion.pair_sums, tokenizer=name)
 
 
 def posting_sums(counts: DataFrame) -> DataFrame:

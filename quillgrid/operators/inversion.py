@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from ..functions.arrow_words import worded
+
 CHUNK_WORDS = 1 << 21
 
 
@@ -134,11 +136,12 @@ def lists(table: pa.Table, block: int) -> dict:
     return {"term": terms.take(pa.array(place[starts])), "block": (ids // block)[starts], "documents": names}
 
 
-def by_chunk(docs: DataFrame, schema: str, invert: Callable[[pa.Table], dict], unit: int | None = None) -> DataFrame:
-    """`invert` of each chunk of rows with `words`."""
+def by_chunk(docs: DataFrame, schema: str, invert: Callable[[pa.Table], dict], unit: int | None = None, tokenizer: str | None = None) -> DataFrame:
+    """`invert` of each chunk of rows with `words`; with a tokenizer, rows have text and words as `worded` takes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, unit):
+        given = batches if tokenizer is None else (part for batch in batches for part in worded(batch, tokenizer))
+        for table in chunks(given, unit):
             yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in invert(table).items()})
 
     return docs.mapInArrow(run, schema)
