@@ -76,10 +76,16 @@ def changes(*columns: np.ndarray) -> np.ndarray:
 def sums(table: pa.Table) -> dict:
     terms, place, row = coded(table)
     names = pc.binary_length(table["doc"]).to_numpy().astype(np.float64)
-    posting = np.unique(place * table.num_rows + row)
-    held, at = posting // table.num_rows, posting % table.num_rows
     n = len(terms)
-    return {"term": terms, "tf": np.bincount(place, minlength=n), "df": np.bincount(held, minlength=n), "doc_bytes": np.bincount(held, names[at], n).astype(np.int64)}
+    tf = np.bincount(place, minlength=n)
+    place *= table.num_rows  # in place: no more arrays as long as the chunk than needed
+    place += row
+    del row
+    place.sort()
+    posting = place[changes(place)]
+    del place
+    held, at = posting // table.num_rows, posting % table.num_rows
+    return {"term": terms, "tf": tf, "df": np.bincount(held, minlength=n), "doc_bytes": np.bincount(held, names[at], n).astype(np.int64)}
 
 
 def pair_sums(table: pa.Table) -> dict:
